@@ -19,7 +19,7 @@ def _c(col: str | Column) -> Column:
 
 def whitespace_tokens(col: str | Column) -> Column:
     """``text.split()``: split on whitespace runs, drop empty pieces, keep case."""
-    return F.filter(F.split(_c(col), PY_WS_CLASS + "+"), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(_c(col), PY_WS_CLASS + "+", -1), "")
 
 
 def word_count(col: str | Column) -> Column:

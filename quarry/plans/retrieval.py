@@ -132,8 +132,7 @@ def hyde_context(spark: SparkSession, d: str) -> DataFrame:
     """Flagship (K3 + H13): per question, the ids and joined text of the top-2
     documents retrieved by its hypothetical answer."""
     hits, qa = _hits(spark, d, per_source=False)
-    ctx = bm25.attach_context(hits, table(spark, d, "documents"), key_cols=QKEYS,
-                              hits_bound=None)
+    ctx = bm25.attach_context(hits, table(spark, d, "documents"), key_cols=QKEYS)
     return ctx.join(qa.select(*QKEYS, "question"), QKEYS).select(
         *QKEYS, "question", "doc_ids", "context"
     )
