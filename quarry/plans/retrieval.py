@@ -148,7 +148,7 @@ FROM idf JOIN cs USING (source)""",
 def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
     """K1: per-source term statistics with the corpus statistics they use."""
     index = bm25.build_index(table(spark, d, "documents"), source_col="source")
-    return index.term_stats.join(index.corpus_stats, "source").select(
+    return index.term_stats.join(F.broadcast(index.corpus_stats), "sid").select(
         "source",
         "term",
         F.col("df").cast("bigint").alias("df"),
