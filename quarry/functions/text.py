@@ -84,7 +84,7 @@ def strip_line_labels(col: str | Column) -> Column:
     and before a second one; join with a space.  Null when any line lacks it."""
     lines = F.split(_c(col), "\n", -1)
     ok = F.forall(lines, lambda ln: F.size(F.split(ln, ": ", -1)) >= 2)
-    body = F.array_join(F.transform(lines, lambda ln: F.split(ln, ": ", -1)[1]), " ")
+    body = F.array_join(F.transform(lines, lambda ln: F.get(F.split(ln, ": ", -1), 1)), " ")
     return F.when(ok, body)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import retrieval  # noqa: F401
+from quarry.plans import corpus, retrieval  # noqa: F401
 from quarry.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
