@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus, dialog, retrieval, training, web  # noqa: F401
+from quarry.plans import corpus, dialog, events, retrieval, training, web  # noqa: F401
 from quarry.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
