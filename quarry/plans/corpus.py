@@ -309,3 +309,25 @@ def title_lookup(spark: SparkSession, d: str) -> DataFrame:
     ok, _ = joins.covered(items, "qid", "titles", corpus)
     pairs = ok.select("qid", F.explode("titles").alias("title"))
     return joins.lookup_first(pairs, corpus, "title", "doc_id").select("qid", "title", "doc_id")
+
+
+@query(
+    "stage_counts",
+    f"""WITH {fx.SQL_ABSTRACTS}
+SELECT CAST(count(*) AS BIGINT) AS n_rows,
+  CAST(count(*) FILTER (WHERE {SQL_WORD_COUNT.format(c='d.text')} >= 100) AS BIGINT) AS ge_100_words,
+  CAST(count(*) FILTER (WHERE NOT ({SQL_ABS_OK})) AS BIGINT) AS faulty_abstracts,
+  CAST(count(*) FILTER (WHERE d.lang = 'en') AS BIGINT) AS english
+FROM documents d JOIN abstracts a ON a.doc_id = d.doc_id""",
+)
+def stage_counts_query(spark: SparkSession, d: str) -> DataFrame:
+    """The row counts the reference printed after each step, as one pass
+    of conditional counts (no repeated count actions)."""
+    from quarry.operators.agg import stage_counts
+
+    docs = table(spark, d, "documents").join(fx.abstracts(spark, d), "doc_id")
+    return stage_counts(docs, {
+        "ge_100_words": T.word_count("text") >= 100,
+        "faulty_abstracts": T.abstract_is_faulty("abstract"),
+        "english": F.col("lang") == "en",
+    }).select(F.col("n_rows").cast("bigint").alias("n_rows"), "ge_100_words", "faulty_abstracts", "english")

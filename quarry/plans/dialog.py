@@ -242,3 +242,47 @@ SELECT json_extract_string(request, '$.custom_id') AS custom_id,
 def request_messages(spark: SparkSession, d: str) -> DataFrame:
     """I4: messages read back out of logged JSON requests."""
     return _requests(spark, d).select(*evalset.request_messages("request"))
+
+
+DRAW_N = 50
+
+
+@query(
+    "thread_draw",
+    f"""WITH {fx.SQL_THREADS}
+SELECT qid, md5(CAST(qid AS VARCHAR) || ':42') AS draw_key FROM threads
+WHERE len(list_distinct(list_transform(answers, lambda a: a.pm_score))) = len(answers)
+  AND NOT contains(metadata[1], 'meta')
+ORDER BY draw_key, qid LIMIT {DRAW_N}""",
+)
+def thread_draw(spark: SparkSession, d: str) -> DataFrame:
+    """F3 (+B6, B7): draw accepted threads in seeded random order without
+    repeats; the draw size is the feature (the reference drew 50,000)."""
+    from quarry.operators.agg import distinct_scores, not_meta
+    from quarry.operators.sample import draw_n
+
+    th = fx.threads(spark, d).select("qid", "answers", "metadata")
+    return draw_n(th, DRAW_N, "qid", accept=distinct_scores() & not_meta()).select("qid", "draw_key")
+
+
+_FOUR_NL = "chr(10) || chr(10) || chr(10) || chr(10)"
+
+
+@query(
+    "answer_pieces",
+    f"""WITH {fx.SQL_THREADS}
+SELECT qid, CAST(len(answers) AS BIGINT) AS n_answers,
+  CAST(len(string_split(t, {_FOUR_NL})) AS BIGINT) AS n_pieces,
+  CAST(length(string_split(t, {_FOUR_NL})[-1]) AS BIGINT) AS last_piece_len
+FROM (SELECT qid, answers, array_to_string(list_transform(answers,
+        lambda a: {_PT('a.text')} || chr(10) || chr(10)), '') AS t FROM threads)""",
+)
+def answer_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of the joined answer text split on four newlines (what the
+    reference counted) beside the true answer count."""
+    from quarry.operators.agg import joined_answers, piece_count
+
+    th = fx.threads(spark, d).select("qid", "answers", joined_answers().alias("t"))
+    n, last = piece_count("t", "\n\n\n\n")
+    return th.select("qid", F.size("answers").cast("bigint").alias("n_answers"),
+                     n.alias("n_pieces"), F.length(last).cast("bigint").alias("last_piece_len"))
