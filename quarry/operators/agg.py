@@ -119,3 +119,20 @@ def _literal_regex(s: str) -> str:
     import re
 
     return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", s)
+
+
+# Section titles dropped from Wikipedia pages (case-insensitive).
+DROPPED_SECTIONS = ["references", "external links"]
+
+
+def drop_sections(sections: DataFrame, title_col: str = "sec_title") -> DataFrame:
+    """Drop reference / external-link sections."""
+    return sections.filter(~F.lower(F.col(title_col)).isin(DROPPED_SECTIONS))
+
+
+def page_text(sections: DataFrame, key: str = "title", order_col: str = "sec_no",
+              text_col: str = "text") -> DataFrame:
+    """D3: a page's kept sections in order, each followed by a newline."""
+    parts = F.sort_array(F.collect_list(F.struct(order_col, F.col(text_col).alias("t"))))
+    return drop_sections(sections).groupBy(key).agg(
+        F.array_join(F.transform(parts, lambda x: F.concat(x["t"], F.lit("\n"))), "").alias("text"))

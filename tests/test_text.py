@@ -86,3 +86,10 @@ def test_request_json_roundtrip(spark):
     back = req.select(*evalset.request_messages("r")).first()
     assert (back.custom_id, back.system_prompt, back.question, back.context) == (
         "task-x-0", "sys\n", 'q "1"', "ctx é")
+
+
+def test_page_text_drops_sections_and_orders(spark):
+    rows = [("P", 2, "External links", "x"), ("P", 1, "History", "b"), ("P", 0, "Intro", "a"),
+            ("P", 3, "REFERENCES", "r")]
+    df = spark.createDataFrame(rows, "title string, sec_no int, sec_title string, text string")
+    assert agg.page_text(df).first().text == "a\nb\n"
