@@ -69,7 +69,7 @@ def distinct_scores(answers: str = "answers") -> Column:
 
 def not_meta(metadata: str = "metadata") -> Column:
     """Reject meta-site threads (``"meta"`` in the first metadata item)."""
-    return ~F.coalesce(F.col(metadata)[0].contains("meta"), F.lit(False))
+    return ~F.coalesce(F.get(F.col(metadata), 0).contains("meta"), F.lit(False))
 
 
 def joined_answers(answers: str = "answers") -> Column:
@@ -104,7 +104,7 @@ def prepare_threads(threads: DataFrame) -> DataFrame:
         paragraph_text("question").alias("question"),
         joined_answers().alias("answer_text"),
         best_answer().alias("selected_answer_text"),
-        site_name(F.col("metadata")[1]).alias("stack_exchange"),
+        site_name(F.get(F.col("metadata"), 1)).alias("stack_exchange"),
     )
 
 
