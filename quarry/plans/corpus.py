@@ -12,7 +12,6 @@ from quarry.operators.agg import value_counts
 from quarry.operators.layout import spread
 from quarry.plans import fixtures as fx
 from quarry.plans.registry import query
-from quarry.plans.retrieval import PY_WS_CLASS  # noqa: F401  (shared class)
 from quarry.sources.tables import table
 
 SQL_WORD_COUNT = "CAST(len(string_split(coalesce(CAST({c} AS VARCHAR), 'nan'), ' ')) AS BIGINT)"

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -45,11 +46,12 @@ def thread_stream(spark: SparkSession, path: str, **kw) -> DataFrame:
     return prepare_threads(open_stream(spark, path, THREAD_SCHEMA, **kw))
 
 
-def _sink_exists(spark: SparkSession, sink: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(sink)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs.exists(p)
+def _sink_keys(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame | None:
+    """Keys already in the sink, or ``None`` before its first write."""
+    try:
+        return spark.read.parquet(sink).select(*keys)
+    except AnalysisException:
+        return None
 
 
 def resumable_ingest(
@@ -68,8 +70,8 @@ def resumable_ingest(
     def write_batch(batch: DataFrame, _epoch: int) -> None:
         b = transform(batch) if transform else batch
         b = b.dropDuplicates(keys)
-        if _sink_exists(spark, sink):
-            done = spark.read.parquet(sink).select(*keys)
+        done = _sink_keys(spark, sink, keys)
+        if done is not None:
             b = b.join(done, keys, "left_anti")
         b.write.mode("append").parquet(sink)
 
