@@ -4,6 +4,12 @@ from __future__ import annotations
 
 from quarry.llm import (  # noqa: F401
     exact_dedup,
+    mixing,
+    fingerprints,
+    packing,
+    quality,
+    secrets,
+    sharding,
     token_counts,
 )
 from quarry.llm.registry import ORACLE, QUERIES
