@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,16 +27,33 @@ def text_of(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
-def prefer_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``mapInArrow`` over record batches of bounded row count.
-
-    Texts of a table differ in length by orders of magnitude, so batches are
-    cut to a few hundred rows inside the task (``slices``); this only names
-    the pattern in one place."""
-    return df.mapInArrow(fn, schema)
-
-
 def slices(batch, rows: int = 256):
     """Zero-copy cuts of a record batch, to bound what a task holds as Python objects."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+
+
+def runs(batches, keys: int):
+    """Tables of the rows that agree in the first ``keys`` columns, from batches
+    sorted by them; a run may span batches."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part = pa.Table.from_batches([batch])
+        part = part if rest is None else pa.concat_tables([rest, part])
+        if part.num_rows == 1:
+            rest = part
+            continue
+        change = np.zeros(part.num_rows - 1, bool)
+        for k in range(keys):
+            col = part.column(k).combine_chunks()
+            change |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        ends = (np.flatnonzero(change) + 1).tolist()
+        at = 0
+        for end in ends:
+            yield part.slice(at, end - at)
+            at = end
+        rest = part.slice(at)
+    if rest is not None:
+        yield rest
