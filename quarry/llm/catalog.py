@@ -11,6 +11,7 @@ from quarry.llm import (  # noqa: F401
     quality,
     secrets,
     sharding,
+    suffixes,
     token_counts,
 )
 from quarry.llm.registry import ORACLE, QUERIES

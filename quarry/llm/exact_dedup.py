@@ -17,14 +17,22 @@ from __future__ import annotations
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import SPACE, scan, text_of
 from quarry.llm.registry import llm_query
+from quarry.operators.joins import bounded_broadcast
 from quarry.session import materialize
 
 COUNTERS = 1024
+#: Rows up to which the list of dropped documents is broadcast (about 100 bytes each).
+BROADCAST_ROWS = 100_000
+
+
+def text_digest(text_col: str) -> Column:
+    """SHA-256, in lowercase hex, of the text with each run of white space as one space."""
+    return F.sha2(F.regexp_replace(text_of(text_col), SPACE, " ").cast("binary"), 256)
 
 
 def prune(counts: dict, counters: int) -> dict:
@@ -87,10 +95,7 @@ def exact_dedup(
     """
     spark = docs.sparkSession
     digests = materialize(
-        docs.select(
-            F.col(id_col).alias(id_col),
-            F.sha2(F.regexp_replace(text_of(text_col), SPACE, " ").cast("binary"), 256).alias("text_sha256"),
-        )
+        docs.select(F.col(id_col).alias(id_col), text_digest(text_col).alias("text_sha256"))
     )
     heavy = frequent_digests(digests, id_col, "text_sha256", counters)
     kind = digests.schema[id_col].dataType.simpleString()
@@ -108,9 +113,11 @@ def exact_dedup(
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text an earlier id holds; all columns stay."""
-    verdicts = exact_dedup(docs, id_col, text_col)
-    gone = verdicts.filter(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept"))
+    gone = gone.select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
+    gone = bounded_broadcast(materialize(gone), BROADCAST_ROWS)
+    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (text_digest(text_col) == F.col("_gone_text"))
+    return docs.join(gone, same, "left_anti")
 
 
 @llm_query(
