@@ -6,8 +6,8 @@ document is taken that often.  The fraction is the document's inclusion
 probability ``p`` for one copy more.  Pareto order sampling ranks the source's
 documents by random odds over inclusion odds, ``(u / (1 - u)) / (p / (1 - p))``
 with ``u`` a hash of the id, and takes from the front until the words still
-wanted are reached; the document whose size fits best fills the gap that is
-left.
+wanted are reached.  The gap that is left is drawn once more from the documents
+that fit in, and the one whose size comes nearest to the rest is the last.
 
 Nothing is ranked over a whole source: the ranks are dealt into ``CELLS``
 cells, the cells' word sums (partial aggregation) show in which cell a source
@@ -81,8 +81,9 @@ def decisions(rows: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_C
     """One row per source that fixes each document's copies.
 
     ``rows`` has ``_key, _source, _size``.  Columns: ``source_size, target,
-    _whole`` (certain copies), ``_p``, ``_cut_cell, _cut_q, _cut_key`` (ranks up
-    to there are drawn) and ``_fill_q, _fill_key`` (the document that fills the gap)."""
+    _whole`` (certain copies), ``_p``, the cuts 1 and 2 (see ``_cut``), ``_fit``
+    (the largest size that the second one looks at) and ``_fill_q, _fill_key``
+    (the document that fills the gap best)."""
     sizes = rows.groupBy("_source").agg(F.sum("_size").alias("source_size"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = source_targets(sizes, weights, max_copies).select(
@@ -94,66 +95,88 @@ def decisions(rows: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_C
     drawn = _with_source(rows, plan).withColumn("_q", _rank(seed)).filter("_q IS NOT NULL").withColumn("_cell", _cell())
     drawn = drawn.select("_key", "_source", "_size", "_wanted", "_q", "_cell")
 
+    first = _cut(drawn, 1)
+    rest = _with_source(drawn, first).filter(~_before_cut(1))
+    # What the first cut leaves is wanted again, of the documents that fit in.
+    gaps = _gaps(_with_source(drawn, first), _before_cut(1), "_fit")
+    fitting = _with_source(rest, gaps).filter("_size <= _fit").withColumn("_wanted", F.col("_fit"))
+    second = _cut(fitting.select(*drawn.columns), 2)
+    ruled = _beside(_beside(plan.select("_source"), first), gaps)
+    ruled = bounded_broadcast(materialize(_beside(ruled, second)), BROADCAST_SOURCES)
+
+    chosen = _with_source(drawn, ruled).withColumn("_in", _before_cut(1) | _refilled())
+    gaps = _gaps(chosen, F.col("_in"), "_gap")
+    off = F.abs(F.col("_size") - F.col("_gap"))
+    fill = (
+        _with_source(chosen.filter(~F.col("_in")), gaps)
+        .filter(off < F.col("_gap"))
+        .groupBy("_source")
+        .agg(F.min(F.struct(off.alias("_off"), "_q", "_key")).alias("_f"))
+        .select("_source", F.col("_f._q").alias("_fill_q"), F.col("_f._key").alias("_fill_key"))
+    )
+    return bounded_broadcast(materialize(_beside(_beside(plan, ruled), fill)), BROADCAST_SOURCES)
+
+
+def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Tables of sources side by side."""
+    right = right.withColumnRenamed("_source", "_s")
+    return left.join(right, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
+def _gaps(rows: DataFrame, taken: Column, name: str) -> DataFrame:
+    """What the taken rows of each source leave of ``_wanted``."""
+    words = F.coalesce(F.sum(F.when(taken, F.col("_size"))), F.lit(0))
+    gaps = rows.groupBy("_source").agg((F.first("_wanted") - words).alias(name))
+    return bounded_broadcast(materialize(gaps), BROADCAST_SOURCES)
+
+
+def _cut(rows: DataFrame, k: int) -> DataFrame:
+    """Per source where the rows, by rank, reach ``_wanted``: all of the cells before
+    ``_cell{k}`` and the ranks up to ``_q{k}, _key{k}`` in it come before the cut."""
     upto = Window.partitionBy("_source").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = (
-        drawn.groupBy("_source", "_cell", "_wanted")
+        rows.groupBy("_source", "_cell", "_wanted")
         .agg(F.sum("_size").alias("_in_cell"))
         .withColumn("_upto", F.sum("_in_cell").over(upto))
     )
-    crossing = cells.filter("_upto > _wanted").groupBy("_source").agg(
-        F.min(F.struct("_cell", (F.col("_upto") - F.col("_in_cell")).alias("_before"))).alias("_x")
-    ).select("_source", F.col("_x._cell").alias("_cut_cell"), F.col("_x._before").alias("_before"))
+    crossing = (
+        cells.filter("_upto > _wanted")
+        .groupBy("_source")
+        .agg(F.min(F.struct("_cell", (F.col("_upto") - F.col("_in_cell")).alias("_before"))).alias("_x"))
+        .select("_source", F.col("_x._cell").alias(f"_cell{k}"), F.col("_x._before").alias("_before"))
+    )
     crossing = bounded_broadcast(materialize(crossing), BROADCAST_SOURCES)
-
     # Rows alike in rank and key (repeated rows) are taken together.
     peers = Window.partitionBy("_source").orderBy("_q", "_key").rangeBetween(Window.unboundedPreceding, 0)
-    marked = _with_source(drawn, crossing)
-    cut = (
-        marked.filter("_cell = _cut_cell")
+    last = (
+        _with_source(rows, crossing)
+        .filter(f"_cell = _cell{k}")
         .withColumn("_sum", F.col("_before") + F.sum("_size").over(peers))
         .filter("_sum <= _wanted")
         .groupBy("_source")
-        .agg(F.max(F.struct("_q", "_key")).alias("_cut"))
+        .agg(F.max(F.struct("_q", "_key")).alias("_l"))
+        .select("_source", F.col("_l._q").alias(f"_q{k}"), F.col("_l._key").alias(f"_key{k}"))
     )
-    cuts = crossing.join(
-        cut.withColumnRenamed("_source", "_s"), F.col("_source").eqNullSafe(F.col("_s")), "left"
-    ).select(
-        "_source", "_cut_cell", F.col("_cut._q").alias("_cut_q"), F.col("_cut._key").alias("_cut_key")
-    )
-    cuts = bounded_broadcast(materialize(cuts), BROADCAST_SOURCES)
+    every = rows.select("_source").distinct()
+    cuts = _beside(_beside(every, crossing.drop("_before")), last)
+    return bounded_broadcast(materialize(cuts), BROADCAST_SOURCES)
 
-    chosen = _with_source(drawn, cuts).withColumn("_in", _drawn())
-    gaps = chosen.groupBy("_source").agg(
-        (F.first("_wanted") - F.coalesce(F.sum(F.when(F.col("_in"), F.col("_size"))), F.lit(0))).alias("_gap")
-    )
-    gaps = bounded_broadcast(materialize(gaps), BROADCAST_SOURCES)
-    off = F.abs(F.col("_size") - F.col("_gap"))
-    fill = (
-        _with_source(chosen.filter(~F.col("_in")), gaps)
-        .filter(off < F.col("_gap"))
-        .groupBy("_source")
-        .agg(F.min(F.struct(off.alias("_off"), "_q", "_key")).alias("_f"))
-        .select("_source", F.col("_f._q").alias("_fill_q"), F.col("_f._key").alias("_fill_key"))
-    )
-
-    def side(left: DataFrame, right: DataFrame) -> DataFrame:
-        right = right.withColumnRenamed("_source", "_s")
-        return left.join(right, F.col("_source").eqNullSafe(F.col("_s")), "left").drop("_s")
 
-    return bounded_broadcast(materialize(side(side(plan, cuts), fill)), BROADCAST_SOURCES)
+def _before_cut(k: int) -> Column:
+    """Whether a rank comes before its source's cut (a source without a cell takes all)."""
+    cell, q, key = F.col("_cell"), F.col("_q"), F.col("_key")
+    last = (q < F.col(f"_q{k}")) | ((q == F.col(f"_q{k}")) & (key <= F.col(f"_key{k}")))
+    inside = (cell < F.col(f"_cell{k}")) | ((cell == F.col(f"_cell{k}")) & F.coalesce(last, F.lit(False)))
+    return q.isNotNull() & F.coalesce(inside, F.lit(True))
 
 
-def _drawn() -> Column:
-    """Whether a rank lies before its source's cut (a source without cut takes all)."""
-    cell, q, key = F.col("_cell"), F.col("_q"), F.col("_key")
-    last = (q < F.col("_cut_q")) | ((q == F.col("_cut_q")) & (key <= F.col("_cut_key")))
-    inside = (cell < F.col("_cut_cell")) | ((cell == F.col("_cut_cell")) & F.coalesce(last, F.lit(False)))
-    return F.when(F.col("_cut_cell").isNull(), q.isNotNull()).otherwise(F.coalesce(inside, F.lit(False)))
+def _refilled() -> Column:
+    return F.coalesce(F.col("_size") <= F.col("_fit"), F.lit(False)) & _before_cut(2)
 
 
 def _copies(seed: str) -> Column:
     filled = (F.col("_q") == F.col("_fill_q")) & (F.col("_key") == F.col("_fill_key"))
-    return F.col("_whole") + (_drawn() | F.coalesce(filled, F.lit(False))).cast("long")
+    return F.col("_whole") + (_before_cut(1) | _refilled() | F.coalesce(filled, F.lit(False))).cast("long")
 
 
 def _keyed(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> dict:
@@ -181,7 +204,8 @@ def mix(
     without words get a target of 0.  An empty table gives an empty result.
     Other columns are not read.
     """
-    rows = materialize(docs.select(F.col(id_col).alias(id_col), *(c.alias(n) for n, c in _keyed(docs, id_col, source_col, text_col).items())))
+    keyed = _keyed(docs, id_col, source_col, text_col)
+    rows = materialize(docs.select(F.col(id_col).alias(id_col), *(c.alias(n) for n, c in keyed.items())))
     ruled = _with_source(rows, decisions(rows.drop(id_col), weights, max_copies, seed))
     ruled = ruled.withColumn("_q", _rank(seed)).withColumn("_cell", _cell())
     return ruled.select(
@@ -204,7 +228,9 @@ def mixed_documents(
     row's copies follow from its own columns and its source's decision."""
     keyed = _keyed(docs, id_col, source_col, text_col)
     rows = materialize(docs.select(*(c.alias(n) for n, c in keyed.items())))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *(c.alias(n) for n, c in keyed.items() if n != "_size"))
+    held = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *(c.alias(n) for n, c in keyed.items())
+    )
     ruled = _with_source(held, decisions(rows, weights, max_copies, seed))
     ruled = ruled.withColumn("_q", _rank(seed)).withColumn("_cell", _cell())
     return ruled.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), _copies(seed).cast("int")))).select("_row.*")
@@ -243,10 +269,19 @@ t AS (
     SELECT d.*, p.source_size, p.target, p.whole, p.wanted,
            CASE WHEN p.p > 0 AND p.p < 1 THEN (u / (1 - u)) / (p.p / (1 - p.p)) END AS q
     FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
-), c AS (
+), c1 AS (
     SELECT *, q IS NOT NULL AND sum(CASE WHEN q IS NOT NULL THEN size END)
-        OVER (PARTITION BY source ORDER BY q NULLS LAST, k) <= wanted AS chosen
+        OVER (PARTITION BY source ORDER BY q NULLS LAST, k) <= wanted AS in1
     FROM q
+), g1 AS (
+    SELECT *, wanted - coalesce(sum(size) FILTER (in1) OVER (PARTITION BY source), 0) AS fit FROM c1
+), c2 AS (
+    SELECT *, NOT in1 AND q IS NOT NULL AND size <= fit AS able,
+           sum(CASE WHEN NOT in1 AND q IS NOT NULL AND size <= fit THEN size END)
+               OVER (PARTITION BY source, NOT in1 AND q IS NOT NULL AND size <= fit ORDER BY q, k) AS upto
+    FROM g1
+), c AS (
+    SELECT *, in1 OR (able AND upto <= fit) AS chosen FROM c2
 ), g AS (
     SELECT *, wanted - coalesce(sum(size) FILTER (chosen) OVER (PARTITION BY source), 0) AS gap FROM c
 ), f AS (

@@ -33,7 +33,8 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Characters of the models, case folded; all others share one place.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE_LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}"
 #: Words that are trained on as ordinary identifiers.
 WORDS = r"[A-Za-z0-9_]{6,}"
 #: Least mean log-likelihood ratio of a transition, in nats.
@@ -104,11 +105,13 @@ def labelled_strings(rows: DataFrame) -> DataFrame:
     """Distinct ``(body, label)``: 1 the secret parts of base spans, 0 ordinary words.
 
     ``rows`` has ``_text`` and ``_base``.  Words are taken from the text with
-    its base bodies blanked out.  Distinct strings are found by partial
-    aggregation, so a word of every document costs one row a task."""
+    its base bodies blanked out; those that the models will have to judge do
+    not train them.  Distinct strings are found by partial aggregation, so a
+    word of every document costs one row a task."""
     random = F.transform("_base", lambda s: F.when(s["kind"] == 0, secret_part(s["body"])).otherwise(s["body"]))
     clean = F.aggregate("_base", F.col("_text"), lambda t, s: F.replace(t, s["body"], F.lit(" ")))
     words = F.array_distinct(F.regexp_extract_all(clean, F.lit(WORDS), F.lit(0)))
+    words = F.filter(words, lambda w: (F.length(w) < CANDIDATE_LEAST) | ~_mixed(w))
 
     def as_label(strings: Column, label: int) -> Column:
         return F.transform(strings, lambda x: F.struct(F.lower(x).alias("body"), F.lit(label).alias("label")))
@@ -147,6 +150,11 @@ def train(samples: DataFrame, sample: int = SAMPLE) -> list[float]:
     return [math.log(chance(1, a, b)) - math.log(chance(0, a, b)) for a in range(size) for b in range(size)]
 
 
+def _mixed(body: Column) -> Column:
+    """Whether a string has a digit and a letter."""
+    return body.rlike("[0-9]") & body.rlike("[A-Za-z]")
+
+
 def mean_ratio(body: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of the transitions of ``body`` (2 characters or more)."""
     size, body = len(ALPHABET) + 1, F.lower(body)
@@ -177,8 +185,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ratios = train(materialize(labelled_strings(rows)))
 
     def likely(body: Column) -> Column:
-        mixed = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
-        return F.when(mixed, mean_ratio(body, ratios) >= MARGIN).otherwise(F.lit(False))
+        return F.when(_mixed(body), mean_ratio(body, ratios) >= MARGIN).otherwise(F.lit(False))
 
     found = rows.withColumn("_more", _spans(F.col("_text"), "random", CANDIDATE, likely))
     apart = F.filter(
