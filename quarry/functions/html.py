@@ -2,14 +2,18 @@
 
 Contract: comments, ``<script>`` and ``<style>`` blocks go first; a paragraph
 starts at ``<p`` followed by whitespace, ``>`` or ``/`` and runs to the next
-``</p``, the next paragraph start, or the end (HTML-5 style implicit close,
-so a ``<p>`` inside an unclosed one is not read twice).  Tags inside are
-stripped, a few entities are unescaped (``&amp;`` last), and paragraphs are
-joined without a separator.
+``</p`` followed by whitespace or ``>``, the next paragraph start, or the end
+(HTML-5 style implicit close, so a ``<p>`` inside an unclosed one is not read
+twice).  Tags inside are stripped, character references (all named ones that
+end in a semicolon, decimal and hexadecimal ones) are decoded in one pass, and
+paragraphs are joined without a separator.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,12 +22,15 @@ from pyspark.sql import functions as F
 DROP_BLOCKS = r"(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>"
 PARA_START = r"(?i)<p([\s>/])"
 MARK = "\u0001"
+PARA_END = r"(?i)</p[\s>]"
+ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+# References that occur in the supplied pages, for the SQL twin.
 ENTITIES = [
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
     ("&#39;", "'"),
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&copy;", "©"),
     ("&middot;", "·"),
     ("&amp;", "&"),
@@ -34,10 +41,33 @@ def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def _named() -> Column:
+    """``map<reference, text>`` of the standard's named references."""
+    names = {k: v for k, v in html5.items() if k.endswith(";")}
+    return F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in names.items()})), "map<string,string>")
+
+
+def _code_point(n: Column) -> Column:
+    """The character of a code point; U+FFFD for none, a surrogate or one out of range."""
+    bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    point = F.when(bad, 0xFFFD).otherwise(n)
+    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+
 def unescape(col: Column) -> Column:
-    for ent, ch in ENTITIES:
-        col = F.replace(col, F.lit(ent), F.lit(ch))
-    return col
+    """Decode the character references of a string in one pass; unknown names stay."""
+    named = _named()
+
+    def one(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
+        base = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+        return F.when(F.startswith(ref, F.lit("&#")), _code_point(base)).otherwise(
+            F.coalesce(F.element_at(named, ref), ref))
+
+    gaps, refs = F.split(col, ENTITY, -1), F.regexp_extract_all(col, F.lit(ENTITY), F.lit(0))
+    texts = F.transform(refs, one)
+    woven = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(texts, i), F.lit(""))))
+    return F.when(F.contains(col, F.lit("&")), F.array_join(woven, "")).otherwise(col)
 
 
 def paragraph_list(col: str | Column) -> Column:
@@ -49,7 +79,7 @@ def paragraph_list(col: str | Column) -> Column:
 
     def one(p: Column) -> Column:
         inner = F.regexp_replace(p, r"^[^>]*>", "")
-        inner = F.split(inner, "(?i)</p", 2)[0]
+        inner = F.split(inner, PARA_END, 2)[0]
         return unescape(F.regexp_replace(inner, r"<[^>]*>", ""))
 
     return F.transform(body, one)
@@ -63,7 +93,7 @@ def paragraph_text(col: str | Column) -> Column:
 # DuckDB twin (same steps, RE2 syntax), used by the oracle statements.
 def sql_paragraph_text(col: str) -> str:
     inner = (
-        "regexp_replace(string_split_regex(regexp_replace(p, '^[^>]*>', ''), '(?i)</p')[1], "
+        "regexp_replace(string_split_regex(regexp_replace(p, '^[^>]*>', ''), '(?i)</p[\\s>]')[1], "
         "'<[^>]*>', '', 'g')"
     )
     for ent, ch in ENTITIES:

@@ -125,14 +125,20 @@ def _literal_regex(s: str) -> str:
 DROPPED_SECTIONS = ["references", "external links"]
 
 
+def _kept_section(title_col: str) -> Column:
+    return ~F.coalesce(F.lower(F.col(title_col)).isin(DROPPED_SECTIONS), F.lit(False))
+
+
 def drop_sections(sections: DataFrame, title_col: str = "sec_title") -> DataFrame:
     """Drop reference / external-link sections."""
-    return sections.filter(~F.lower(F.col(title_col)).isin(DROPPED_SECTIONS))
+    return sections.filter(_kept_section(title_col))
 
 
 def page_text(sections: DataFrame, key: str = "title", order_col: str = "sec_no",
-              text_col: str = "text") -> DataFrame:
-    """D3: a page's kept sections in order, each followed by a newline."""
-    parts = F.sort_array(F.collect_list(F.struct(order_col, F.col(text_col).alias("t"))))
-    return drop_sections(sections).groupBy(key).agg(
+              text_col: str = "text", title_col: str = "sec_title") -> DataFrame:
+    """D3: a page's kept sections in order, each followed by a newline; a page
+    of which no section is kept has the text ``''``."""
+    kept = F.when(_kept_section(title_col), F.struct(order_col, F.col(text_col).alias("t")))
+    parts = F.sort_array(F.collect_list(kept))
+    return sections.groupBy(key).agg(
         F.array_join(F.transform(parts, lambda x: F.concat(x["t"], F.lit("\n"))), "").alias("text"))

@@ -7,23 +7,37 @@ callable over a list of strings.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.serializers import CloudPickleSerializer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import remove_echo
 
-Generator = Callable[[list[str], str], list[str]]  # (prompts, decoding) -> outputs
-_WORKER_CACHE: dict[tuple[str, str], object] = {}
+Generator = Callable[..., list[str]]  # (prompts, decoding, **parameters) -> outputs
 
+# The reference's generation parameters, handed to the hook by decoding.
+DECODING = {
+    "greedy": {"max_new_tokens": 96, "do_sample": False},
+    "nucleus": {"max_new_tokens": 96, "do_sample": True, "top_p": 0.95},
+}
+_WORKER_CACHE: dict[str, object] = {}
 
-def _cached(factory: Callable[[], object]) -> object:
-    """Build the user's model once per Python worker (tasks unpickle a fresh
-    factory object, so the key is its qualified name)."""
-    key = (getattr(factory, "__module__", ""), getattr(factory, "__qualname__", repr(factory)))
+
+def model_digest(factory: Callable[[], object]) -> str:
+    """Names a model by the pickled factory (code and captured parameters),
+    taken once on the driver: equal factories share a worker's model, others
+    never do."""
+    return hashlib.sha256(CloudPickleSerializer().dumps(factory)).hexdigest()
+
+
+def _cached(key: str, factory: Callable[[], object]) -> object:
+    """Build the user's model once per Python worker; a worker keeps the last one."""
     if key not in _WORKER_CACHE:
+        _WORKER_CACHE.clear()
         _WORKER_CACHE[key] = factory()
     return _WORKER_CACHE[key]
 
@@ -36,20 +50,26 @@ def generate_answers(
     text_col: str = "question",
     decodings: tuple[str, ...] = ("greedy", "nucleus"),
     batch_size: int = 400,
+    parameters: dict[str, dict] | None = None,
+    model_key: str | None = None,
 ) -> DataFrame:
     """L1 + H10: one output per question and decoding, keyed by the question
     (never by position), the echoed prompt removed and the text stripped.
-    ``batch_size`` is the Arrow batch handed to the generator."""
+    ``batch_size`` rows go to the generator at once, with the parameters of
+    their decoding (``DECODING`` unless given).  ``model_key`` names the model
+    within a worker; by default the pickled factory does."""
     keys = list(key_cols)
+    model = model_key or model_digest(factory)
+    given = DECODING if parameters is None else parameters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = _cached(factory)
+        gen = _cached(model, factory)
         for whole in batches:
             for lo in range(0, len(whole), batch_size):
                 pdf = whole.iloc[lo : lo + batch_size]
                 prompts = pdf[text_col].fillna("").str.replace("\n", "", regex=False).tolist()
                 for dec in decodings:
-                    outs = gen(prompts, dec)
+                    outs = gen(prompts, dec, **given.get(dec, {}))
                     if len(outs) != len(prompts):
                         raise ValueError("generator returned a different number of outputs")
                     out = pdf[keys].copy()
@@ -70,13 +90,15 @@ def answer_with_context(
     *,
     key_cols: list[str],
     with_result: bool = False,
+    model_key: str | None = None,
 ) -> DataFrame:
     """L2: a user answerer over ``(question, context)``; returns ``answer``
     and, for yes/no/maybe datasets, a nullable ``result``."""
     keys = list(key_cols)
+    model = model_key or model_digest(factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _cached(factory)
+        fn = _cached(model, factory)
         for pdf in batches:
             replies = fn(pdf["question"].tolist(), pdf["context"].tolist())
             out = pdf[keys].copy()

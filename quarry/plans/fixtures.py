@@ -9,7 +9,7 @@ deterministically by key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.sources.tables import table
@@ -38,15 +38,16 @@ SQL_WIKI = """wiki AS (
 # ---- labelled abstracts (H7, B13) ------------------------------------------
 
 
-def abstracts(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    lines = F.split("text", "\n", -1)
-    bare_first = F.col("doc_id") % 7 == 0
+def abstract_of(text: str, key: str) -> Column:
     lab = F.transform(
-        lines,
-        lambda ln, i: F.when(bare_first & (i == 0), ln).otherwise(F.concat(F.lit("BACKGROUND: "), ln)),
+        F.split(text, "\n", -1),
+        lambda ln, i: F.when((F.col(key) % 7 == 0) & (i == 0), ln).otherwise(F.concat(F.lit("BACKGROUND: "), ln)),
     )
-    return docs.select("doc_id", F.array_join(lab, "\n").alias("abstract"))
+    return F.array_join(lab, "\n")
+
+
+def abstracts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", abstract_of("text", "doc_id").alias("abstract"))
 
 
 SQL_ABSTRACTS = """abstracts AS (

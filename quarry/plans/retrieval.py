@@ -121,20 +121,22 @@ def bm25_by_source(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "hyde_context",
     f"WITH {sql_bm25_hits(chr(39) + 'all' + chr(39))}\n"
-    """SELECT h.conv_id, h.turn, qa.question,
-       string_agg(CAST(h.doc_id AS VARCHAR), ',' ORDER BY h.rank) AS doc_ids,
-       string_agg(d.text, ' ' ORDER BY h.rank) AS context
-FROM hits h JOIN documents d ON d.doc_id = h.doc_id
-     JOIN qa ON qa.conv_id = h.conv_id AND qa.turn = h.turn
-GROUP BY h.conv_id, h.turn, qa.question""",
+    """SELECT qa.conv_id, qa.turn, qa.question,
+       coalesce(string_agg(CAST(h.doc_id AS VARCHAR), ',' ORDER BY h.rank), '') AS doc_ids,
+       coalesce(string_agg(d.text, ' ' ORDER BY h.rank), '') AS context
+FROM qa LEFT JOIN hits h ON qa.conv_id = h.conv_id AND qa.turn = h.turn
+     LEFT JOIN documents d ON d.doc_id = h.doc_id
+GROUP BY qa.conv_id, qa.turn, qa.question""",
 )
 def hyde_context(spark: SparkSession, d: str) -> DataFrame:
     """Flagship (K3 + H13): per question, the ids and joined text of the top-2
-    documents retrieved by its hypothetical answer."""
+    documents retrieved by its hypothetical answer (both empty without a hit)."""
     hits, qa = _hits(spark, d, per_source=False)
     ctx = bm25.attach_context(hits, table(spark, d, "documents"), key_cols=QKEYS)
-    return ctx.join(qa.select(*QKEYS, "question"), QKEYS).select(
-        *QKEYS, "question", "doc_ids", "context"
+    empty = F.lit("")
+    return qa.select(*QKEYS, "question").join(ctx.drop("source"), QKEYS, "left").select(
+        *QKEYS, "question",
+        F.coalesce("doc_ids", empty).alias("doc_ids"), F.coalesce("context", empty).alias("context"),
     )
 
 

@@ -39,7 +39,8 @@ def build_session(
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": driver_memory,
-        "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
+        # Checkpoint files go when the frames that read them are gone.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     conf.update(extra or {})
     for k, v in conf.items():

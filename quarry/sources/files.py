@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.text import PY_WS_CLASS, py_strip
+from quarry.functions.text import py_strip
 
 # ---- A1 / A10: marker-delimited records ---------------------------------------
 
@@ -21,18 +21,26 @@ def read_delimited(spark: SparkSession, path: str, marker: str, *, strip: bool =
                    source: str | None = None) -> DataFrame:
     """A1: records separated by ``marker`` (multi-character allowed).
 
-    The writer (A10) puts a newline on each side of the marker, so the piece
-    after the last marker is whitespace only; the reader drops whitespace-only
-    pieces (the reference drops the final piece).  ``strip`` removes the
-    newlines around each record (the Wikipedia reader strips, PubMed does not).
-    """
-    df = spark.read.option("lineSep", marker).text(path)
-    df = df.filter(F.regexp_replace("value", f"{PY_WS_CLASS}+", "") != F.lit(""))
+    Of each file exactly the piece after its last marker is dropped, whatever
+    it holds; empty records between markers stay.  A file that ends with the
+    marker has an empty such piece, which the line reader does not return:
+    the bytes of pieces and markers then add up to the file's size.
+    ``strip`` removes the white space around each record (the Wikipedia reader
+    strips, PubMed does not)."""
+    pieces = spark.read.option("lineSep", marker).text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"),
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
+    # One row per file: where its last piece lies, and whether a marker ends it.
+    tails = pieces.groupBy("_file").agg(
+        F.max(F.struct("_block", "_n")).alias("_last"),
+        (F.sum(F.octet_length("value") + len(marker.encode())) != F.max("_size")).alias("_open"),
+    ).filter("_open").select("_file", F.col("_last._block").alias("_block"), F.col("_last._n").alias("_n"))
+    records = pieces.join(tails, ["_file", "_block", "_n"], "left_anti")
     text = py_strip("value") if strip else F.col("value")
     cols = [text.alias("text")]
     if source is not None:
         cols.append(F.lit(source).alias("source"))
-    return df.select(*cols)
+    return records.select(*cols)
 
 
 def write_delimited(df: DataFrame, path: str, marker: str, text_col: str = "text",
@@ -64,23 +72,44 @@ def read_csv_multiline(spark: SparkSession, path: str, schema: T.StructType | st
             .option("quote", '"').option("escape", '"').csv(path))
 
 
+#: A character that no odd run of backslashes stands before (runs of up to 199).
+_NOT_ESCAPED = r"(?<=(?<!\\)(?:\\\\){0,99})"
+
+
 def read_escaped_csv(spark: SparkSession, path: str, columns: list[str],
-                     max_rows: int | None = 10**6) -> DataFrame:
-    """A4: unquoted CSV where ``\\`` escapes the delimiter and itself; header
-    line skipped; the reference reads at most 10**6 rows (a cap that is the
-    feature there, kept as a parameter)."""
-    lines = spark.read.text(path)
-    header = ",".join(columns)
-    fields = F.split(F.col("value"), r"(?<!\\),", -1)
-    unesc = F.transform(fields, lambda c: F.regexp_replace(c, r"\\(.)", "$1"))
-    df = lines.filter(F.col("value") != header).select(
-        *[F.get(unesc, i).alias(c) for i, c in enumerate(columns)])
-    return df.limit(max_rows) if max_rows else df
+                     max_rows: int | None = None) -> DataFrame:
+    """A4: unquoted CSV where ``\\`` escapes the delimiter, the newline and
+    itself.  The first record of each file is its header; empty records are
+    skipped.  A file is read as one value, so write such tables in part files.
+    ``max_rows`` keeps the head in file and record order; by default all
+    records are read."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
+    records = files.select("_file", F.posexplode(F.split("value", _NOT_ESCAPED + r"\n", -1)).alias("_n", "_record"))
+    records = records.filter((F.col("_n") > 0) & (F.col("_record") != ""))
+    if max_rows is not None:
+        records = records.orderBy("_file", "_n").limit(max_rows)
+    fields = F.split(F.col("_record"), _NOT_ESCAPED + ",", -1)
+    plain = F.transform(fields, lambda c: F.regexp_replace(c, r"(?s)\\(.)", "$1"))
+    return records.select(*[F.get(plain, i).alias(c) for i, c in enumerate(columns)])
+
+
+def write_escaped_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """A12 without quotes: backslash, comma and newline are escaped by a backslash; null is empty."""
+    def escaped(name: str):
+        value = F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+        return F.regexp_replace(value, r"([\\,\n])", r"\\$1")
+
+    line = F.concat_ws(",", *[escaped(c) for c in df.columns])
+    header = ",".join(df.columns)
+    # A header per part file: the first row of each partition brings it along.
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    df.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value")).write.mode(mode).text(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Header, overwrite."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("escape", "\"").option("quoteAll", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def append_table(df: DataFrame, path: str) -> None:
@@ -97,7 +126,7 @@ TRANSCRIPT_TYPE = "map<string, array<struct<text: string>>>"
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """A5: JSON files mapping video id -> list of ``{text}``; one row per
     element, in file order (``video``, ``seg_no``, ``text``)."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     m = files.select(F.from_json("value", TRANSCRIPT_TYPE).alias("m"))
     per_video = m.select(F.explode("m").alias("video", "segs"))
     return per_video.select("video", F.posexplode("segs").alias("seg_no", "s")).select(
@@ -107,7 +136,7 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 def read_answer_archive(spark: SparkSession, path: str, marker: str = "<END>") -> DataFrame:
     """JSON map run key -> answers each followed by ``marker``; the piece
     after the last marker is dropped; one row per answer ``(run, pos, answer)``."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     m = files.select(F.explode(F.from_json("value", "map<string,string>")).alias("run", "v"))
     pieces = F.split("v", re.escape(marker), -1)
     kept = F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0)))

@@ -15,9 +15,11 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.agg import prepare_threads
+from quarry.operators.joins import bounded_broadcast
 
 THREAD_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType()),
@@ -46,12 +48,15 @@ def thread_stream(spark: SparkSession, path: str, **kw) -> DataFrame:
     return prepare_threads(open_stream(spark, path, THREAD_SCHEMA, **kw))
 
 
-def _sink_keys(spark: SparkSession, sink: str, keys: list[str]) -> DataFrame | None:
-    """Keys already in the sink, or ``None`` before its first write."""
+def _sink(spark: SparkSession, path: str) -> DataFrame | None:
+    """The sink's table, or ``None`` before its first write.  Only a missing or
+    empty folder counts as such; any other failure to read it is raised."""
     try:
-        return spark.read.parquet(sink).select(*keys)
-    except AnalysisException:
-        return None
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def resumable_ingest(
@@ -61,19 +66,36 @@ def resumable_ingest(
     sink: str,
     checkpoint: str,
     keys: list[str],
+    order: list[str] | None = None,
     transform: Callable[[DataFrame], DataFrame] | None = None,
+    max_batch_keys: int = 1_000_000,
 ) -> None:
     """M2: process everything available now, skip keys already in the sink,
     append the rest, then stop.  Running it again is a no-op; new files add
-    only their new keys."""
+    only their new keys.  Of a key that a batch holds twice, the first row by
+    ``order`` (all other columns unless given) is kept.
+
+    The sink is probed with the batch's keys: up to ``max_batch_keys`` they are
+    broadcast into its scan, so the sink's keys are not shuffled."""
 
     def write_batch(batch: DataFrame, _epoch: int) -> None:
         b = transform(batch) if transform else batch
-        b = b.dropDuplicates(keys)
-        done = _sink_keys(spark, sink, keys)
-        if done is not None:
-            b = b.join(done, keys, "left_anti")
-        b.write.mode("append").parquet(sink)
+        rest = order or [c for c in b.columns if c not in keys]
+        others = [c for c in b.columns if c not in keys and c not in rest]
+        if rest:
+            first = F.min(F.struct(*rest, *others)).alias("_first")
+            b = b.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*b.columns)
+        else:
+            b = b.dropDuplicates(keys)
+        held = _sink(spark, sink)
+        if held is not None:
+            b = b.persist()
+            wanted = bounded_broadcast(b.select(*keys), max_batch_keys)
+            done = held.select(*keys).join(wanted, keys, "left_semi").distinct()
+            b.join(done, keys, "left_anti").write.mode("append").parquet(sink)
+            b.unpersist()
+        else:
+            b.write.mode("append").parquet(sink)
 
     q = (stream.writeStream.foreachBatch(write_batch)
          .option("checkpointLocation", checkpoint)

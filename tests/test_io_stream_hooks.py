@@ -84,7 +84,7 @@ def test_resumable_ingest_reruns(spark, scratch):
 
 def test_generate_hook(spark):
     def _toy_generator():
-        return lambda prompts, decoding: [f"{p} -> {decoding}" for p in prompts]
+        return lambda prompts, decoding, **given: [f"{p} -> {decoding}" for p in prompts]
 
     q = spark.createDataFrame([(1, "why\n"), (2, "how")], "qid long, question string")
     out = hooks.generate_answers(q, _toy_generator, key_cols=["qid"], batch_size=1).collect()

@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from quarry.plans import catalog
 
 from conftest import SF_SMALL
 
@@ -34,10 +35,11 @@ def test_guard_sees_the_offset_window(spark):
     assert "Window [" in topk and not unpartitioned_windows(topk)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_plan_guards(spark, name):
     plan = _plan(entry.queries()[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in plan  # no row-at-a-time Python UDF
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     for line in unpartitioned_windows(plan):
         # the only unpartitioned window allowed: ordinal offsets over the
         # per-partition counts (one row per partition)
