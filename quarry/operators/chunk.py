@@ -21,9 +21,10 @@ following piece, whitespace stripped):
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,7 +48,7 @@ def _split_keep_start(text: str, start: int, sep: str) -> list[Piece]:
     return [p for p in out if p[1] != ""]
 
 
-def _join(pieces: list[Piece]) -> Piece | None:
+def _join(pieces: Iterable[Piece]) -> Piece | None:
     text = "".join(t for _, t in pieces)
     stripped = text.strip()
     if stripped == "":
@@ -58,7 +59,7 @@ def _join(pieces: list[Piece]) -> Piece | None:
 
 def _merge(pieces: list[Piece], size: int, overlap: int) -> list[Piece]:
     docs: list[Piece] = []
-    held: list[Piece] = []
+    held: deque[Piece] = deque()
     total = 0
     for p in pieces:
         n = len(p[1])
@@ -67,8 +68,7 @@ def _merge(pieces: list[Piece], size: int, overlap: int) -> list[Piece]:
             if doc is not None:
                 docs.append(doc)
             while total > overlap or (total + n > size and total > 0):
-                total -= len(held[0][1])
-                held = held[1:]
+                total -= len(held.popleft()[1])
         held.append(p)
         total += n
     doc = _join(held)
@@ -112,7 +112,8 @@ def split_text(text: str | None, size: int, overlap: int,
     return _split(text, 0, list(separators or DEFAULT_SEPARATORS), size, overlap)
 
 
-CHUNK_SCHEMA = "doc_id long, chunk_no int, start long, text string"
+#: Chunks that a task holds before it hands them on.
+HELD_CHUNKS = 5_000
 
 
 def chunk(
@@ -123,24 +124,34 @@ def chunk(
     separators: list[str] | None = None,
     doc_col: str = "doc_id",
     text_col: str = "text",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """J1/J2 + J3: ``(doc_id, chunk_no, start, text)``, chunks of every
-    document in order (``chunk_no`` dense from 0)."""
+    """J1/J2 + J3: ``(doc_col, carry..., chunk_no, start, text)``, chunks of every
+    document in order (``chunk_no`` dense from 0).  The key may be of any type,
+    and the ``carry`` columns go with each chunk."""
     seps = list(separators or DEFAULT_SEPARATORS)
+    kept = [doc_col, *carry]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, nos, starts, texts = [], [], [], []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
-                for i, (s, t) in enumerate(split_text(text, size, overlap, seps)):
-                    ids.append(doc_id)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, nos, starts, texts = [], [], [], []
+
+            def made(batch=batch):  # of the lists as they are when it is called
+                cols = [c.take(pa.array(at, pa.int64())) for c in batch.columns[:-1]]
+                new = [pa.array(nos, pa.int32()), pa.array(starts, pa.int64()), pa.array(texts, pa.string())]
+                return pa.RecordBatch.from_arrays(cols + new, names=[*kept, "chunk_no", "start", "text"])
+
+            for n in range(batch.num_rows):
+                for i, (s, t) in enumerate(split_text(batch.column(len(kept))[n].as_py(), size, overlap, seps)):
+                    at.append(n)
                     nos.append(i)
                     starts.append(s)
                     texts.append(t)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"),
-                                "chunk_no": pd.Series(nos, dtype="int32"),
-                                "start": pd.Series(starts, dtype="int64"),
-                                "text": pd.Series(texts, dtype="object")})
-
-    src = docs.select(F.col(doc_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return src.mapInPandas(run, CHUNK_SCHEMA)
+                if len(at) >= HELD_CHUNKS:
+                    yield made()
+                    at, nos, starts, texts = [], [], [], []
+            yield made()
+
+    src = docs.select(*kept, F.col(text_col).alias("_text"))
+    keys = docs.select(*kept).schema.simpleString()[len("struct<"):-1]
+    return src.mapInArrow(run, f"{keys},chunk_no:int,start:bigint,text:string")

@@ -1,26 +1,30 @@
 """Token ids and fixed-length training blocks.
 
-``tokenize`` (J4, native default): words -> ids through a vocabulary table
-ranked by corpus frequency (id 1 = most frequent, ties by the word's bytes,
-0 reserved for padding).  The ranking uses the distributed ordinal, never a
-global window.  Token rows meet the vocabulary through a size-checked
+``tokenize`` (J4): words -> ids through a vocabulary table ranked by corpus
+frequency (id 1 = most frequent, ties by the word's bytes, 0 reserved for
+padding), or through a user's tokenizer.  The ranking uses the distributed
+ordinal, never a global window.  Documents are read once: empty ones keep a
+row without word, and token rows meet the vocabulary through a size-checked
 broadcast, or a shuffle join that AQE splits on hot words.
 
-``pack`` (J5/J6): rows numbered in order, cut into batches of
-``batch_rows``; inside a batch every row's token offset is an exclusive
-running sum (a window over one bounded batch); each row then emits one
-fragment per block it touches, and blocks are assembled by
-``groupBy(batch, block)``.  No row is wider than one block and no task sees
-more than one block's tokens at a time; the remainder of each batch that
-does not fill a block is dropped.
+``pack`` (J5/J6): only keys and lengths are numbered, cut into batches of
+``batch_rows`` and summed (a window over one bounded batch); the offsets then
+meet the token arrays by key, each row emits one fragment per block it touches,
+and blocks are assembled by ``groupBy(shard, batch, block)``.  No row is wider
+than one block and no task sees more than one block's tokens at a time; the
+remainder of each batch that does not fill a block is dropped.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import whitespace_tokens
+from quarry.operators.hooks import _cached, model_digest
 from quarry.operators.joins import bounded_broadcast
 from quarry.operators.ordinal import running_offset, with_ordinal
 
@@ -38,22 +42,41 @@ def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
 
 def tokenize(
     docs: DataFrame,
-    vocab: DataFrame,
+    vocab: DataFrame | None = None,
     *,
     key_cols: list[str],
     text: Column,
     out: str = "ids",
+    tokenizer: Callable[[], Callable[[list[str]], list[list[int]]]] | None = None,
+    mask: str | None = None,
 ) -> DataFrame:
-    """``(keys, ids array<bigint>)``; every input row is kept (no tokens -> [])."""
-    toks = docs.select(*key_cols, F.posexplode(whitespace_tokens(text)).alias("tpos", "word"))
-    v = bounded_broadcast(vocab.select("word", "id"))
-    ided = toks.join(v, "word", "left")
-    assembled = ided.groupBy(*key_cols).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("tpos", "id"))), lambda x: x["id"]).alias(out)
-    )
-    return docs.select(*key_cols).join(assembled, key_cols, "left").select(
-        *key_cols, F.coalesce(F.col(out), F.array().cast("array<bigint>")).alias(out)
-    )
+    """``(keys, ids array<bigint>)``; every input row is kept (no tokens -> []).
+
+    ``key_cols`` name a row.  ``tokenizer`` is a factory of a user's batch
+    function, used instead of the vocabulary.  ``mask`` names an attention
+    mask column (1 for each token)."""
+    if tokenizer is not None:
+        ided = _user_ids(docs.select(*key_cols, text.alias("_text")), key_cols, tokenizer, out)
+    else:
+        toks = docs.select(*key_cols, F.posexplode_outer(whitespace_tokens(text)).alias("tpos", "word"))
+        v = bounded_broadcast(vocab.select("word", "id"))
+        found = F.when(F.col("tpos").isNotNull(), F.struct("tpos", "id"))
+        ids = F.transform(F.sort_array(F.collect_list(found)), lambda x: x["id"])
+        ided = toks.join(v, "word", "left").groupBy(*key_cols).agg(ids.alias(out))
+    return ided.withColumn(mask, F.transform(out, lambda x: F.lit(1))) if mask else ided
+
+
+def _user_ids(docs: DataFrame, key_cols: list[str], factory, out: str) -> DataFrame:
+    model = model_digest(factory)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = _cached(model, factory)
+        for pdf in batches:
+            ids = encode(pdf["_text"].fillna("").tolist())
+            yield pdf[key_cols].assign(**{out: ids})
+
+    keys = docs.select(*key_cols).schema.simpleString()[len("struct<"):-1]
+    return docs.mapInPandas(run, f"{keys},{out}:array<bigint>")
 
 
 def pack(
@@ -63,35 +86,54 @@ def pack(
     ids_col: str = "ids",
     block: int = 1024,
     batch_rows: int = 1000,
+    num_shards: int = 1,
+    more_cols: tuple[str, ...] = (),
+    lengths: DataFrame | None = None,
 ) -> DataFrame:
-    """``(batch, block, input_ids, labels)``: concatenation of each batch's
-    token lists cut into ``block``-sized pieces; labels copy the ids."""
-    numbered = with_ordinal(rows.select(order_col, ids_col), [order_col], name="pos")
-    b = numbered.select(
-        "pos", ids_col, F.floor(F.col("pos") / batch_rows).cast("bigint").alias("batch"),
-        F.size(ids_col).cast("bigint").alias("n"),
-    )
-    b = b.withColumn("start", running_offset("n", ["batch"], "pos"))
-    # Batch totals: a partial aggregate, joined back on the batch key.
-    totals = b.groupBy("batch").agg(F.sum("n").alias("total"))
-    b = b.join(totals, "batch").filter(F.col("n") > 0)
-    first = F.floor(F.col("start") / block)
-    last = F.floor((F.col("start") + F.col("n") - 1) / block)
+    """``(shard, batch, block, input_ids, labels, ...)``: concatenation of each
+    batch's token lists cut into ``block``-sized pieces; labels copy the ids.
+
+    Rows are cut into ``num_shards`` contiguous shards (as parallel workers of
+    the reference are), batches are counted within a shard.  ``more_cols`` are
+    arrays of the ids' length that are cut alike.  ``lengths`` is ``(order_col,
+    n)`` if it can be had cheaper than from the arrays."""
+    sizes = lengths if lengths is not None else rows.select(order_col, F.size(ids_col).cast("bigint").alias("n"))
+    numbered = with_ordinal(sizes.select(order_col, "n"), [order_col], name="pos")
+    total_rows = numbered.count() if num_shards > 1 else 0
+    # Contiguous shards: the first ``total % num_shards`` hold one row more.
+    small, extra = divmod(total_rows, num_shards)
+    cut = extra * (small + 1)
+    shard = F.lit(0).cast("bigint") if num_shards == 1 else F.when(
+        F.col("pos") < cut, F.expr(f"pos div {small + 1}")).otherwise(
+        F.lit(extra) + F.expr(f"(pos - {cut}) div {max(small, 1)}"))
+    first = F.lit(0) if num_shards == 1 else F.when(
+        F.col("shard") < extra, F.col("shard") * (small + 1)).otherwise(
+        F.lit(cut) + (F.col("shard") - extra) * small)
+    in_batch = Window.partitionBy("shard", "batch")
+    b = numbered.withColumn("shard", shard.cast("bigint")).withColumn(
+        "batch", F.floor((F.col("pos") - first) / batch_rows).cast("bigint"))
+    b = b.withColumn("start", running_offset("n", ["shard", "batch"], "pos")).withColumn(
+        "total", F.sum("n").over(in_batch)).filter(F.col("n") > 0)
+    b = b.select("shard", "batch", "start", "n", "total", F.col(order_col).alias("_order"))
+    arrays = [ids_col, *more_cols]
+    b = b.join(rows.select(F.col(order_col).alias("_order"), *arrays), "_order")
+    lo_block = F.floor(F.col("start") / block)
+    hi_block = F.floor((F.col("start") + F.col("n") - 1) / block)
     frags = b.select(
-        "batch", "start", "n", ids_col, "total",
-        F.explode(F.sequence(first, last)).alias("block"),
+        "shard", "batch", "start", "n", *arrays, "total", F.explode(F.sequence(lo_block, hi_block)).alias("block"),
     ).filter(F.col("block") < F.floor(F.col("total") / block))
     lo = F.greatest(F.col("start"), F.col("block") * block)
     hi = F.least(F.col("start") + F.col("n"), (F.col("block") + 1) * block)
-    frags = frags.select(
-        "batch", "block", "start",
-        F.slice(ids_col, (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")).alias("frag"),
-    )
-    blocks = frags.groupBy("batch", "block").agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("start", "frag"))),
-                              lambda x: x["frag"])).alias("input_ids")
-    )
-    return blocks.select("batch", "block", "input_ids", F.col("input_ids").alias("labels"))
+    at, n = (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")
+    frags = frags.select("shard", "batch", "block", "start", *[F.slice(c, at, n).alias(c) for c in arrays])
+
+    def joined(col: str) -> Column:
+        parts = F.sort_array(F.collect_list(F.struct("start", F.col(col).alias("frag"))))
+        return F.flatten(F.transform(parts, lambda x: x["frag"]))
+
+    blocks = frags.groupBy("shard", "batch", "block").agg(
+        joined(ids_col).alias("input_ids"), *[joined(c).alias(c) for c in more_cols])
+    return blocks.withColumn("labels", F.col("input_ids"))
 
 
 def pad_right(ids: Column, length: int, pad: int = PAD_ID) -> Column:
@@ -110,9 +152,10 @@ def prefix_features(prompt_ids: Column, target_ids: Column, max_length: int = 10
     return [inp.alias("input_ids"), mask.alias("attention_mask"), lab.alias("labels")]
 
 
-def pad_left(ids: Column, length: Column | int, pad: int = PAD_ID) -> list[Column]:
-    """Left-pad to ``length`` with an attention mask."""
+def pad_left(ids: Column, length: Column | int, pad: int = PAD_ID, max_length: int | None = None) -> list[Column]:
+    """Left-pad to ``length``, cut to ``max_length`` at most, with an attention mask."""
     length = F.lit(length) if isinstance(length, int) else length
+    length = F.least(length, F.lit(max_length)) if max_length is not None else length
     k = F.greatest(length - F.size(ids), F.lit(0))
     cut = F.slice(ids, 1, length)
     padded = F.concat(F.array_repeat(F.lit(pad).cast("bigint"), k), cut)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.functions.text import whitespace_tokens
 from quarry.operators import chunk as C
 from quarry.operators import pack as P
 from quarry.operators.agg import length_summary
@@ -93,7 +94,9 @@ FROM g GROUP BY batch, blk""",
 def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
     """J5 + J6: 1000-row batches packed into 1024-token blocks."""
     ids, _ = _doc_ids(spark, d)
-    blocks = P.pack(ids, order_col="doc_id", ids_col="ids", block=BLOCK, batch_rows=BATCH_ROWS)
+    n = F.size(whitespace_tokens(F.coalesce("text", F.lit("")))).cast("bigint").alias("n")
+    blocks = P.pack(ids, order_col="doc_id", ids_col="ids", block=BLOCK, batch_rows=BATCH_ROWS,
+                    lengths=_docs(spark, d).select("doc_id", n))
     return blocks.select("batch", F.col("block").cast("bigint").alias("block"),
                          F.array_join("input_ids", " ").alias("input_ids"),
                          F.array_join("labels", " ").alias("labels"))
@@ -129,12 +132,13 @@ def prefix_labels(spark: SparkSession, d: str) -> DataFrame:
     """H12 + J4 + J7: ten-word prompt and the rest as target, each cut and
     right-padded to 1024 ids; target padding becomes -100."""
     docs = _docs(spark, d)
-    vocab = P.build_vocab(docs)
-    head, tail = T.prefix_words("text", 10)
-    pt = docs.select("doc_id", head.alias("prompt"), tail.alias("target"))
-    pi = P.tokenize(pt, vocab, key_cols=["doc_id"], text=F.col("prompt"), out="p")
-    ti = P.tokenize(pt, vocab, key_cols=["doc_id"], text=F.col("target"), out="t")
-    feats = pi.join(ti, "doc_id").select("doc_id", *P.prefix_features(F.col("p"), F.col("t"), MAX_LENGTH))
+    head, _ = T.prefix_words("text", 10)
+    # The prompt's words are the text's first ones: tokenized once, cut at their number.
+    pt = docs.select("doc_id", "text", F.size(whitespace_tokens(head)).alias("k"))
+    ids = P.tokenize(pt, P.build_vocab(docs), key_cols=["doc_id", "k"], text=F.col("text"))
+    rest = F.greatest(F.size("ids") - F.col("k"), F.lit(0))
+    feats = ids.select("doc_id", *P.prefix_features(F.slice("ids", F.lit(1), F.col("k")),
+                                                    F.slice("ids", F.col("k") + 1, rest), MAX_LENGTH))
     return feats.select("doc_id", *[F.array_join(c, " ").alias(c)
                                     for c in ("input_ids", "attention_mask", "labels")])
 
@@ -165,3 +169,54 @@ def pad_batch(spark: SparkSession, d: str) -> DataFrame:
     return ids.select("conv_id", "turn", *P.pad_left(F.col("ids"), int(longest))).select(
         "conv_id", "turn", F.array_join("input_ids", " ").alias("input_ids"),
         F.array_join("attention_mask", " ").alias("attention_mask"))
+
+
+SHARDS = 3
+
+
+@query(
+    "pack_shards",
+    f"""WITH {SQL_VOCAB},
+c AS (SELECT count(*) AS n FROM documents),
+p0 AS (SELECT ids, len(ids) AS n, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM dids),
+p1 AS (SELECT p0.*, c.n // {SHARDS} AS small, c.n % {SHARDS} AS extra FROM p0, c),
+p AS (SELECT ids, n, pos, CASE WHEN pos < extra * (small + 1) THEN pos // (small + 1)
+        ELSE extra + (pos - extra * (small + 1)) // greatest(small, 1) END AS shard FROM p1),
+q AS (SELECT *, (row_number() OVER (PARTITION BY shard ORDER BY pos) - 1) // 100 AS batch FROM p),
+b AS (SELECT *, CAST(sum(n) OVER (PARTITION BY shard, batch ORDER BY pos
+                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS BIGINT) AS start,
+        CAST(sum(n) OVER (PARTITION BY shard, batch) AS BIGINT) AS total FROM q),
+f AS (SELECT *, unnest(range(start // 512, (start + n - 1) // 512 + 1)) AS blk FROM b WHERE n > 0),
+g AS (SELECT shard, batch, blk, start,
+        ids[greatest(start, blk * 512) - start + 1 : least(start + n, (blk + 1) * 512) - start] AS frag
+      FROM f WHERE blk < total // 512)
+SELECT CAST(shard AS BIGINT) AS shard, CAST(batch AS BIGINT) AS batch, CAST(blk AS BIGINT) AS block,
+  md5(string_agg(array_to_string(frag, ' '), ' ' ORDER BY start)) AS ids_md5,
+  CAST(512 AS BIGINT) AS n_attended
+FROM g GROUP BY shard, batch, blk""",
+)
+def pack_shards(spark: SparkSession, d: str) -> DataFrame:
+    """J4 + J5 + J6 over three shards: ids and attention masks cut alike."""
+    docs = _docs(spark, d)
+    ids = P.tokenize(docs, P.build_vocab(docs), key_cols=["doc_id"], text=F.col("text"), mask="attention_mask")
+    blocks = P.pack(ids, order_col="doc_id", block=512, batch_rows=100, num_shards=SHARDS,
+                    more_cols=("attention_mask",))
+    return blocks.select("shard", "batch", F.col("block").cast("bigint").alias("block"),
+                         F.md5(F.array_join("input_ids", " ")).alias("ids_md5"),
+                         F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attended"))
+
+
+def word_lengths():
+    """A user's tokenizer for the test data: the length of each word."""
+    return lambda texts: [[len(w) for w in t.split(" ") if w] for t in texts]
+
+
+@query(
+    "user_tokenizer",
+    """SELECT doc_id, array_to_string(list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''),
+  lambda w: length(w)), ' ') AS ids FROM documents""",
+)
+def user_tokenizer(spark: SparkSession, d: str) -> DataFrame:
+    """J4 with a user's tokenizer."""
+    ids = P.tokenize(_docs(spark, d), key_cols=["doc_id"], text=F.col("text"), tokenizer=word_lengths)
+    return ids.select("doc_id", F.array_join("ids", " ").alias("ids"))
