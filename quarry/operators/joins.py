@@ -6,13 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if a count proves it has at most ``max_rows`` rows;
-    otherwise return it unchanged so the planner shuffles both sides (with AQE
-    skew splitting).  The count is a job: pass small, cheap frames."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    """Broadcast ``df`` only if it is proven to have at most ``max_rows`` rows of
+    at most ``BROADCAST_BYTES`` bytes together (lengths of its strings plus 16
+    bytes a column); otherwise return it unchanged, so the planner shuffles
+    both sides (with AQE skew splitting).  The proof is a job: pass small,
+    cheap frames."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")),
+               F.lit(16 * max(1, len(df.columns))))
+    n, held = df.agg(F.count(F.lit(1)), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if n <= max_rows and (held or 0) <= BROADCAST_BYTES else df
 
 
 def skip_done(todo: DataFrame, done: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -64,22 +70,17 @@ def dictionary_filter(
     """Keep tokens whose lower case is in ``vocab``, in order, joined by a
     space; a document whose tokens all fail gives ``''``.
 
-    Tokens are exploded with their position, semi-joined to the vocabulary
-    (broadcast when its size is proven small, otherwise a shuffle join that
-    AQE splits on hot tokens), and re-assembled per document."""
-    toks = docs.select(doc_key, F.posexplode(tokens).alias("tpos", "tok"))
+    Tokens are exploded once with their position, a document without any keeping
+    a row, and marked by a left join with the vocabulary (broadcast when its size
+    is proven small, otherwise a shuffle join that AQE splits on hot tokens); the
+    marked ones are put together per document."""
+    toks = docs.select(doc_key, F.posexplode_outer(tokens).alias("tpos", "tok"))
     v = vocab.select(F.col(word_col).alias("_w")).distinct()
     v = bounded_broadcast(v, max_rows)
-    kept = toks.join(v, F.lower(F.col("tok")) == F.col("_w"), "left_semi")
-    assembled = kept.groupBy(doc_key).agg(
-        F.array_join(
-            F.transform(F.sort_array(F.collect_list(F.struct("tpos", "tok"))), lambda x: x["tok"]),
-            " ",
-        ).alias("text")
-    )
-    return docs.select(doc_key).join(assembled, doc_key, "left").select(
-        doc_key, F.coalesce("text", F.lit("")).alias("text")
-    )
+    marked = toks.join(v, F.lower(F.col("tok")) == F.col("_w"), "left")
+    kept = F.collect_list(F.when(F.col("_w").isNotNull(), F.struct("tpos", "tok")))
+    words = F.transform(F.sort_array(kept), lambda x: x["tok"])
+    return marked.groupBy(doc_key).agg(F.array_join(words, " ").alias("text"))
 
 
 def lookup_first(keys: DataFrame, table: DataFrame, key: str, order_col: str) -> DataFrame:

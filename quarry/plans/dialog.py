@@ -59,7 +59,7 @@ WHERE len(list_distinct(list_transform(answers, lambda a: a.pm_score))) = len(an
 )
 def thread_prepare(spark: SparkSession, d: str) -> DataFrame:
     """B6 + B7 + H1 + D1 + D2 + H2 + B14: threads to the six-column record."""
-    return prepare_threads(spread(fx.threads(spark, d)))
+    return prepare_threads(fx.threads(spark, d))
 
 
 @query(
