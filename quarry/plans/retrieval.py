@@ -6,12 +6,15 @@ with the user turn just before it (the question, used only for the prompt).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import PY_WS_CLASS
 from quarry.operators import bm25
 from quarry.plans.registry import query
+from quarry.session import checkpoint_dir
 from quarry.sources.tables import table
 
 QKEYS = ["conv_id", "turn"]
@@ -107,6 +110,22 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
     return hits.select(*QKEYS, "rank", "doc_id", "score")
 
 
+@query(
+    "bm25_stored",
+    f"WITH {sql_bm25_hits(chr(39) + 'all' + chr(39))}\n"
+    "SELECT conv_id, turn, rank, doc_id, score FROM hits",
+)
+def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
+    """K1 + K2: the same ranking from an index that was written as tables and read again."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/bm25-{uuid.uuid4().hex}"
+    built = bm25.build_index(table(spark, d, "documents"))
+    bm25.write_index(built, path)
+    built.unpersist()
+    qa = qa_turns(table(spark, d, "conversations"))
+    hits = bm25.top_k(bm25.load_index(spark, path), qa, key_cols=QKEYS, text_col="answer", k=TOP_K)
+    return hits.select(*QKEYS, "rank", "doc_id", "score")
+
+
 @query(
     "bm25_by_source",
     f"WITH {sql_bm25_hits('source')}\nSELECT conv_id, turn, source, rank, doc_id, score FROM hits",
