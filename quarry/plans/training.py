@@ -26,19 +26,83 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text"))
 
 
-@query("chunk_sentence")
+def sql_chunks(size: int, overlap: int, separators: list[str]) -> str:
+    """CTEs ending in ``chunks(doc_id, chunk_no, start, text)``, the chunker's contract as SQL.
+
+    One set of CTEs per nesting level cuts bodies at the first separator that
+    occurs and hands pieces that are too long to the next level.  Runs of short
+    pieces are merged from their prefix sums ``p``: a chunk of the pieces from
+    ``l`` on ends before the first piece that would make it too long, and the
+    next one begins at the first piece that keeps the overlap."""
+    quoted = ["'" + x.replace("\n", "' || chr(10) || '") + "'" for x in separators]
+    out = ["in0 AS (SELECT doc_id, CAST(0 AS BIGINT) AS base, text AS body, 0 AS k FROM documents WHERE text <> '')"]
+    shorts, longs = [], []
+    for n in range(len(separators)):
+        pick = " ".join(
+            f"WHEN k <= {j} AND " + (f"contains(body, {q})" if x else "true") + f" THEN {j}"
+            for j, (x, q) in enumerate(zip(separators, quoted, strict=True)))
+        cuts = " ".join(f"WHEN {j} THEN string_split(body, {q})" for j, q in enumerate(quoted))
+        heads = " ".join(f"WHEN {j} THEN {q}" for j, q in enumerate(quoted))
+        ends = [j for j, x in enumerate(separators) if not x or j + 1 == len(separators)]
+        out += [
+            f"pick{n} AS (SELECT *, CASE {pick} ELSE -1 END AS j FROM in{n})",
+            f"cut{n} AS (SELECT doc_id, base, j, t.n, CASE WHEN t.n > 1 THEN CASE j {heads} ELSE '' END ELSE '' END || t.x"
+            f" AS piece FROM pick{n}, unnest(CASE j {cuts} ELSE [body] END) WITH ORDINALITY AS t(x, n))",
+            f"len{n} AS (SELECT *, length(piece) AS len FROM cut{n} WHERE piece <> '')",
+            f"at{n} AS (SELECT *, base + CAST(sum(len) OVER w - len AS BIGINT) AS start,"
+            f" sum(CAST(len >= {size} AS INT)) OVER w AS g FROM len{n}"
+            f" WINDOW w AS (PARTITION BY doc_id, base ORDER BY n))",
+            f"in{n + 1} AS (SELECT doc_id, start AS base, piece AS body, j + 1 AS k FROM at{n}"
+            f" WHERE len >= {size} AND j >= 0 AND j NOT IN ({', '.join(map(str, ends))}))",
+        ]
+        shorts.append(f"SELECT doc_id, base, g, start, len FROM at{n} WHERE len < {size}")
+        longs.append(f"SELECT doc_id, start, piece AS text FROM at{n} WHERE len >= {size}"
+                     f" AND (j < 0 OR j IN ({', '.join(map(str, ends))}))")
+    out += [
+        "short AS (" + " UNION ALL ".join(shorts) + ")",
+        "sums AS (SELECT doc_id, base, g, start, len, sum(len) OVER (PARTITION BY doc_id, base, g ORDER BY start) AS p FROM short)",
+        "runs AS (SELECT doc_id, base, g, min(start) AS s0, list_prepend(0, list(CAST(p AS BIGINT) ORDER BY start)) AS p"
+        " FROM sums GROUP BY doc_id, base, g)",
+        # l and r are 1-based places in p: the chunk holds the pieces from l to r - 1.
+        f"""merged(doc_id, s0, p, l, r) AS (
+  SELECT doc_id, s0, p, 1, coalesce(list_filter(range(2, len(p)), lambda x: p[x + 1] - p[1] > {size})[1], len(p))
+  FROM runs
+  UNION ALL
+  SELECT doc_id, s0, p, l2,
+    coalesce(list_filter(range(l2 + 1, len(p)), lambda x: p[x + 1] - p[l2] > {size})[1], len(p))
+  FROM (SELECT doc_id, s0, p, list_filter(range(l, r + 1), lambda x: p[r] - p[x] <= {overlap}
+          AND (p[r + 1] - p[x] <= {size} OR p[x] = p[r]))[1] AS l2
+        FROM merged WHERE r < len(p)))""",
+        "raw AS (SELECT m.doc_id, s0 + p[l] AS start, substr(d.text, s0 + p[l] + 1, p[r] - p[l]) AS text"
+        " FROM merged m JOIN documents d ON d.doc_id = m.doc_id)",
+        r"bare AS (SELECT doc_id, start + length(regexp_extract(text, '^\s*')) AS start,"
+        r" regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM raw)",
+        "alltext AS (SELECT * FROM bare WHERE text <> '' UNION ALL " + " UNION ALL ".join(longs) + ")",
+        "chunks AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS chunk_no,"
+        " CAST(start AS BIGINT) AS start, text FROM alltext)",
+    ]
+    return "WITH RECURSIVE " + ",\n".join(out)
+
+
+@query("chunk_sentence", sql_chunks(1750, 100, C.SENTENCE_SEPARATORS) + "\nSELECT * FROM chunks")
 def chunk_sentence(spark: SparkSession, d: str) -> DataFrame:
     """J1 + J3: chunks cut on ``". "`` only, 1750 characters, overlap 100."""
     return C.chunk(_docs(spark, d), size=1750, overlap=100, separators=C.SENTENCE_SEPARATORS)
 
 
-@query("chunk_recursive")
+@query("chunk_recursive", sql_chunks(2000, 100, C.DEFAULT_SEPARATORS) + "\nSELECT * FROM chunks")
 def chunk_recursive(spark: SparkSession, d: str) -> DataFrame:
     """J2 + J3: recursive chunks with the default separators, 2000/100."""
     return C.chunk(_docs(spark, d), size=2000, overlap=100)
 
 
-@query("chunk_stats")
+@query(
+    "chunk_stats",
+    sql_chunks(2500, 100, C.DEFAULT_SEPARATORS)
+    + """, n AS (SELECT CAST(len(string_split(text, ' ')) AS BIGINT) AS w FROM chunks)
+SELECT CAST(count(*) AS BIGINT) AS n_chunks, min(w) AS min_words, max(w) AS max_words,
+  round(avg(w), 6) AS avg_words, median(w) AS median_words FROM n""",
+)
 def chunk_stats(spark: SparkSession, d: str) -> DataFrame:
     """Words per chunk of the 2500/100 recursive chunks, summarised."""
     ch = C.chunk(_docs(spark, d), size=2500, overlap=100)

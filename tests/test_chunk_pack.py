@@ -91,3 +91,57 @@ def test_vocab_ranks_by_frequency(spark):
     assert v == {"a": 1, "b": 2, "c": 3}
     ids = P.tokenize(docs, P.build_vocab(docs), key_cols=["doc_id"], text=F.col("text")).collect()
     assert {r.doc_id: list(r.ids) for r in ids} == {1: [2, 1, 1], 2: [3, 1, 2]}
+
+
+def test_chunk_sql_states_the_splitter():
+    import duckdb
+
+    from quarry.plans.training import sql_chunks
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_SMALL}/documents.parquet'")
+    docs = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    for size, seps in ((300, C.DEFAULT_SEPARATORS), (180, C.SENTENCE_SEPARATORS)):
+        sql = sql_chunks(size, 40, seps) + " SELECT doc_id, chunk_no, start, text FROM chunks"
+        want = [(d, i, s, x) for d, t in docs for i, (s, x) in enumerate(C.split_text(t, size, 40, seps))]
+        assert sorted(con.execute(sql).fetchall()) == sorted(want)
+
+
+def test_chunks_of_titled_pages_carry_their_source(spark):
+    df = spark.createDataFrame([("A", "s1", "x " * 50), ("B", None, None)], "title string, source string, text string")
+    out = C.chunk(df, size=30, overlap=5, doc_col="title", carry=("source",))
+    assert out.columns == ["title", "source", "chunk_no", "start", "text"]
+    rows = out.collect()
+    assert {(r.title, r.source) for r in rows} == {("A", "s1")} and len(rows) > 3
+
+
+def test_long_text_without_separators_is_linear():
+    import time
+
+    t = time.time()
+    assert len(C.split_text("x" * 400_000, 2000, 100)) == 211
+    assert time.time() - t < 20
+
+
+def test_pack_carries_masks_and_shards(spark):
+    rows = [(k, [k * 10 + j for j in range(k % 5)], [1] * (k % 5)) for k in range(47)]
+    df = spark.createDataFrame(rows, "k long, ids array<long>, m array<int>").repartition(4)
+    for shards in (1, 3, 5):
+        got = P.pack(df, order_col="k", block=7, batch_rows=6, num_shards=shards, more_cols=("m",)).collect()
+        small, extra = divmod(47, shards)
+        want, at = [], 0
+        for s in range(shards):
+            n = small + (s < extra)
+            part = rows[at : at + n]
+            at += n
+            for b in range(0, n, 6):
+                flat = [x for r in part[b : b + 6] for x in r[1]]
+                want += [(s, b // 6, i // 7, flat[i : i + 7]) for i in range(0, len(flat) // 7 * 7, 7)]
+        assert sorted((r.shard, r.batch, r.block, r.input_ids) for r in got) == sorted(want)
+        assert all(r.labels == r.input_ids and r.m == [1] * 7 for r in got)
+
+
+def test_padding_is_cut_to_the_maximum(spark):
+    df = spark.createDataFrame([([1, 2, 3],), ([4],)], "ids array<long>")
+    got = [tuple(map(tuple, r)) for r in df.select(*P.pad_left(F.col("ids"), 3, max_length=2)).collect()]
+    assert got == [((1, 2), (1, 1)), ((0, 4), (0, 1))]
