@@ -161,10 +161,6 @@ def run_completeness(spark: SparkSession, d: str) -> DataFrame:
         F.lit(expected).cast("bigint").alias("expected"))
 
 
-# The ranks of the reference's runs.
-RANKS = (8, 32, 128)
-
-
 @query(
     "run_commands",
     """SELECT source AS dataset, 'python3 generate.py -r ' || [8, 32, 128][CAST(count(*) % 3 AS INT) + 1]
@@ -176,10 +172,10 @@ def run_commands(spark: SparkSession, d: str) -> DataFrame:
     from the source's rows (the grid is read from the data, not a cartesian
     product)."""
     runs = table(spark, d, "documents").filter("source IS NOT NULL").groupBy(F.col("source").alias("dataset")).agg(
-        F.element_at(F.array(*map(F.lit, RANKS)), (F.count(F.lit(1)) % 3 + 1).cast("int")).alias("rank"),
+        F.element_at(F.array(*map(F.lit, evalset.RANKS)), (F.count(F.lit(1)) % 3 + 1).cast("int")).alias("rank"),
         F.max("doc_id").alias("checkpoint"),
     )
-    return runs.select("dataset", evalset.run_command(F.col("dataset"), F.col("rank").cast("string"),
+    return runs.select("dataset", evalset.run_command(F.col("dataset"), F.col("rank"),
                                                       F.col("checkpoint").cast("string")).alias("command"))
 
 
