@@ -10,7 +10,6 @@ from quarry.functions import text as T
 from quarry.functions.html import sql_paragraph_text
 from quarry.operators import bm25, evalset, ordinal
 from quarry.operators.agg import best_answer, incomplete_runs, prepare_threads
-from quarry.operators.layout import spread
 from quarry.plans import fixtures as fx
 from quarry.plans.registry import query
 from quarry.plans.retrieval import PY_WS_CLASS, SQL_QA, qa_turns, sql_bm25_hits
