@@ -33,6 +33,8 @@ LEAST_BLOCK = 3
 CHUNKS = 64
 #: Chunks in a signature at most; the last one then holds the rest.
 MOST_CHUNKS = 2 * CHUNKS
+#: Longest chunk, in block sizes.
+LONGEST = 4
 #: Bytes hashed at once, so that a very long text needs no arrays of its own length.
 STRETCH = 1 << 20
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -72,12 +74,20 @@ def boundaries(raw: bytes, size: int) -> tuple[list[int], list[int]]:
     return fine, coarse
 
 
-def signature(raw: bytes, ends: list[int]) -> str:
-    ends = ends[: MOST_CHUNKS - 1]
-    if not ends or ends[-1] < len(raw):
-        ends = [*ends, len(raw)]
-    out, at, view = [], 0, memoryview(raw)
+def signature(raw: bytes, ends: list[int], longest: int) -> str:
+    """Two characters for each chunk.  A chunk of more than ``longest`` bytes (as in
+    text that repeats itself without a boundary) is cut every so many bytes from its start."""
+    ends = ends if ends and ends[-1] == len(raw) else [*ends, len(raw)]
+    cuts, at = [], 0
     for end in ends:
+        cuts += range(at + longest, end, longest)
+        cuts.append(end)
+        at = end
+        if len(cuts) >= MOST_CHUNKS:
+            cuts = [*cuts[: MOST_CHUNKS - 1], len(raw)]
+            break
+    out, at, view = [], 0, memoryview(raw)
+    for end in cuts:
         out.append(SYMBOLS[zlib.crc32(view[at:end]) & 4095])
         at = end
     return "".join(out)
@@ -89,7 +99,7 @@ def fingerprint(text: str) -> str:
     if not raw:
         return f"{size}::"
     fine, coarse = boundaries(raw, size)
-    return f"{size}:{signature(raw, fine)}:{signature(raw, coarse)}"
+    return f"{size}:{signature(raw, fine, LONGEST * size)}:{signature(raw, coarse, 2 * LONGEST * size)}"
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
