@@ -34,7 +34,7 @@ def model_digest(factory: Callable[[], object]) -> str:
     return hashlib.sha256(CloudPickleSerializer().dumps(factory)).hexdigest()
 
 
-def _cached(key: str, factory: Callable[[], object]) -> object:
+def cached_model(key: str, factory: Callable[[], object]) -> object:
     """Build the user's model once per Python worker; a worker keeps the last one."""
     if key not in _WORKER_CACHE:
         _WORKER_CACHE.clear()
@@ -63,7 +63,7 @@ def generate_answers(
     given = DECODING if parameters is None else parameters
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gen = _cached(model, factory)
+        gen = cached_model(model, factory)
         for whole in batches:
             for lo in range(0, len(whole), batch_size):
                 pdf = whole.iloc[lo : lo + batch_size]
@@ -98,7 +98,7 @@ def answer_with_context(
     model = model_key or model_digest(factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _cached(model, factory)
+        fn = cached_model(model, factory)
         for pdf in batches:
             replies = fn(pdf["question"].tolist(), pdf["context"].tolist())
             out = pdf[keys].copy()

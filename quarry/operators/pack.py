@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import whitespace_tokens
-from quarry.operators.hooks import _cached, model_digest
+from quarry.operators.hooks import cached_model, model_digest
 from quarry.operators.joins import bounded_broadcast
 from quarry.operators.ordinal import running_offset, with_ordinal
 
@@ -70,7 +70,7 @@ def _user_ids(docs: DataFrame, key_cols: list[str], factory, out: str) -> DataFr
     model = model_digest(factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _cached(model, factory)
+        encode = cached_model(model, factory)
         for pdf in batches:
             ids = encode(pdf["_text"].fillna("").tolist())
             yield pdf[key_cols].assign(**{out: ids})
