@@ -19,8 +19,9 @@ def components(edges: DataFrame) -> DataFrame:
     every node hands its smallest neighbour to the larger ones, then to all
     smaller ones, until each node has one edge, to its component's smallest
     node.  Each half is a partial minimum and a join, so a node with very many
-    neighbours costs one row a task and is split by the adaptive join; lineage
-    is cut after each round."""
+    neighbours costs one row a task in the minimum; the minima are materialized
+    before the join, so that it reads two plain exchanges and adaptive execution
+    can split such a node's rows.  Lineage is cut after each round."""
     a, b = edges.columns
     now = materialize(
         edges.filter(F.col(a) != F.col(b))
@@ -30,9 +31,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = _state(now)
     while before[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large)
+        down = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
         after = _state(now)

@@ -240,7 +240,8 @@ def families(classes: DataFrame) -> DataFrame:
 
     held = classes.select("id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(keys - 1)), masked)).alias("_key"))
     shared = held.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = shared.select("_key", F.ceil(F.col("n") / BLOCK_ROWS).cast("long").alias("_blocks"))
+    # Materialized, so that the join below reads plain exchanges and a key of many classes can be split.
+    shared = materialize(shared.select("_key", F.ceil(F.col("n") / BLOCK_ROWS).cast("long").alias("_blocks")))
     rows = in_blocks(held.join(shared, "_key"), "_key", "_blocks")
     rows = rows.join(classes.select("id", "_sig"), "id").select("_key", "_meet", "id", "_sig")
     edges = (
@@ -306,7 +307,33 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
-@llm_query("op5_near_dedup")
+SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+    FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+        WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+        ELSE list_transform(range(1, len(words) - 3), lambda k: array_to_string(words[k:k + 4], ' ')) END) AS shingle
+    FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+    FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+    SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+    WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(node, root) AS (
+    SELECT doc_id, doc_id FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node
+), m AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
+FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
+@llm_query("op5_near_dedup", SQL)
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates among all whole texts of ``documents``."""
     return near_duplicates(scan(spark, sf_dir).select("doc_id", "text"))
