@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, runs, scan, slices, text_of
+from quarry.llm.common import WORD, scan, slices, text_of
 from quarry.llm.minhash import mix, words
 from quarry.llm.registry import llm_query
 from quarry.operators.joins import bounded_broadcast
@@ -137,7 +137,7 @@ def _extended(least: int, prefix: int):
     def run(batches):
         for batch in batches:
             for part in slices(batch, 64):
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(7)]
                 for rep, key, text, kept in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     hashes = word_hashes(text)
                     grams = gram_hashes(hashes, prefix)
@@ -147,14 +147,17 @@ def _extended(least: int, prefix: int):
                     if not len(at):
                         continue
                     bounds = np.array([m.span() for m in word.finditer(text)])
-                    long = gram_hashes(hashes, least)[at]
-                    ends = bounds[at + least - 1, 1]
-                    own = np.full(len(at), rep), np.full(len(at), key)
-                    for col, values in zip(cols, (long.view(np.int64), *own, at, bounds[at, 0], ends), strict=True):
+                    long = gram_hashes(hashes, least)[at].view(np.int64)
+                    # Neighbouring places of one gram (a word that is repeated on and on) are one row.
+                    new = np.concatenate([[True], (long[1:] != long[:-1]) | (np.diff(at) != 1)])
+                    first, last = at[new], at[np.concatenate([new[1:], [True]])]
+                    own = np.full(len(first), rep), np.full(len(first), key)
+                    chars = bounds[first, 0], bounds[last + least - 1, 1]
+                    for col, values in zip(cols, (long[new], *own, first, last, *chars), strict=True):
                         col.append(values)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(c) if c else [], pa.int64()) for c in cols],
-                    names=["_gram", "_rep", "_text_key", "_word", "start", "end"],
+                    names=["_gram", "_rep", "_text_key", "_word", "_to", "start", "end"],
                 )
 
     return run
@@ -211,22 +214,24 @@ def repeated_passages(
         chosen.join(kept, "_text_key")
         .select("_id", "_text_key", "_text", "_kept")
         .mapInArrow(
-            _extended(least, prefix), "_gram long, _rep long, _text_key long, _word long, start long, end long"
+            _extended(least, prefix),
+            "_gram long, _rep long, _text_key long, _word long, _to long, start long, end long",
         )
     )
     shared = grams.groupBy("_gram").agg(F.min("_rep").alias("_first"), F.max("_rep").alias("_last"))
-    hits = grams.join(shared.filter("_first < _last").select("_gram", "_first"), "_gram")
+    # Materialized, so that the join reads plain exchanges and a gram of many texts can be split.
+    shared = materialize(shared.filter("_first < _last").select("_gram", "_first"))
+    hits = grams.join(shared, "_gram")
 
-    # Matches of a text have one length, so the one before reaches furthest.
     in_text = Window.partitionBy("_text_key").orderBy("_word")
-    step = F.col("_word") - F.lag("_word").over(in_text)
+    reach = F.max("_to").over(in_text.rowsBetween(Window.unboundedPreceding, -1)) + least
     spans = (
-        hits.withColumn("_new", F.when(step < least, 0).otherwise(1))
+        hits.withColumn("_new", F.when(F.col("_word") < reach, 0).otherwise(1))
         .withColumn("_span", F.sum("_new").over(in_text.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("_text_key", "_span")
         .agg(
             F.min("start").alias("start"), F.max("end").alias("end"),
-            (F.max("_word") - F.min("_word") + least).alias("n_words"), F.min("_first").alias("_first"),
+            (F.max("_to") - F.min("_word") + least).alias("n_words"), F.min("_first").alias("_first"),
         )
     )
     alone = copies.filter("_copies = 1").select("_text_key", F.col("_rep").alias("_id"))
@@ -235,7 +240,9 @@ def repeated_passages(
     # Copies repeat each other from the first word to the last.
     copied = members.join(copies.filter("_copies > 1"), "_text_key").select("_id", "_text_key", "_rep")
     earliest = spans.groupBy("_text_key").agg(F.min("_first").alias("_first"))
-    sizes = rows.filter(F.regexp_count("_text", F.lit(WORD)) >= least).select(
+    several = copies.filter("_copies > 1").select("_text_key")
+    of_copies = rows.join(bounded_broadcast(several, BROADCAST_TEXTS), "_text_key", "left_semi")
+    sizes = of_copies.filter(F.regexp_count("_text", F.lit(WORD)) >= least).select(
         "_id", "_text_key",
         F.length(F.regexp_extract("_text", r"^[\x20\x09-\x0D]*", 0)).cast("long").alias("start"),
         F.length(F.regexp_replace("_text", r"[\x20\x09-\x0D]+$", "")).cast("long").alias("end"),
@@ -251,7 +258,36 @@ def repeated_passages(
     )
 
 
-@llm_query("op4_suffix_dedup")
+SQL = r"""
+WITH t AS (
+    SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
+           string_split_regex(text, '[^\x20\x09-\x0D]+') AS gaps
+    FROM documents WHERE text <> ''
+), w AS (
+    SELECT doc_id, unnest(range(1, len(words) + 1)) AS n, unnest(list_transform(words, lambda x: length(x))) AS len,
+           unnest(list_transform(gaps[1:len(words)], lambda x: length(x))) AS gap
+    FROM t
+), p AS (SELECT doc_id, n, len, sum(gap + len) OVER (PARTITION BY doc_id ORDER BY n) AS past FROM w),
+b AS (
+    SELECT doc_id, n, past - len AS start, lead(past, 49) OVER (PARTITION BY doc_id ORDER BY n) AS "end" FROM p
+), g AS (
+    SELECT doc_id, unnest(range(1, len(words) - 48)) AS n, unnest(list_transform(range(1, len(words) - 48),
+        lambda k: md5(array_to_string(words[k:k + 49], ' ')))) AS gram
+    FROM t
+), s AS (
+    SELECT gram, min(doc_id) AS first_id FROM g GROUP BY gram HAVING min(doc_id) < max(doc_id)
+), h AS (
+    SELECT doc_id, n, start, "end", first_id,
+           CASE WHEN n - lag(n) OVER (PARTITION BY doc_id ORDER BY n) < 50 THEN 0 ELSE 1 END AS fresh
+    FROM g JOIN s USING (gram) JOIN b USING (doc_id, n)
+), k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY n) AS span FROM h)
+SELECT doc_id, CAST(min(start) AS BIGINT) AS start, CAST(max("end") AS BIGINT) AS "end",
+       CAST(max(n) - min(n) + 50 AS BIGINT) AS n_words, min(first_id) AS first_doc_id
+FROM k GROUP BY doc_id, span
+"""
+
+
+@llm_query("op4_suffix_dedup", SQL)
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that repeat across all whole ``documents``."""
     return repeated_passages(scan(spark, sf_dir).select("doc_id", "text"))
