@@ -4,7 +4,8 @@ A rolling hash over ``WINDOW`` bytes ends a chunk wherever its value falls in
 one residue class of the block size, so an edit moves the boundaries near it
 only.  A fingerprint is ``block size:signature:signature at twice that size``,
 with two characters per chunk.  The block size follows from the length alone
-(about 32 to 64 chunks); fingerprints are comparable when their block sizes
+(32 to 64 blocks, and somewhat fewer chunks, as boundaries that crowd are
+thinned where they lie); fingerprints are comparable when their block sizes
 are equal or one is twice the other, and their likeness is one minus the edit
 distance (insertions and deletions) over the sum of the signature lengths.
 
@@ -31,8 +32,10 @@ from quarry.llm.registry import llm_query
 WINDOW = 7
 LEAST_BLOCK = 3
 CHUNKS = 64
-#: Chunks in a signature at most; the last one then holds the rest.
+#: Chunks in a signature at most (see ``thinned``).
 MOST_CHUNKS = 2 * CHUNKS
+#: Boundaries that may follow each other closely; beyond them the spacing is bounded.
+BURST = 8
 #: Longest chunk, in block sizes.
 LONGEST = 4
 #: Bytes hashed at once, so that a very long text needs no arrays of its own length.
@@ -74,18 +77,47 @@ def boundaries(raw: bytes, size: int) -> tuple[list[int], list[int]]:
     return fine, coarse
 
 
-def signature(raw: bytes, ends: list[int], longest: int) -> str:
-    """Two characters for each chunk.  A chunk of more than ``longest`` bytes (as in
+def thinned(raw: bytes, ends: list[int], size: int) -> list[int]:
+    """``ends`` without those that crowd: no ``BURST + 1`` of them lie closer together
+    than they could all through a text of ``CHUNKS`` blocks, so text that repeats a short
+    piece with a boundary is covered evenly from end to end.
+
+    Of crowded boundaries the one with the smallest window in half a block or so stays,
+    and of equal windows as many as keep that distance.  It is the boundaries nearby that
+    decide, not how many there are in all: what two texts share is cut alike."""
+    apart = -(-BURST * CHUNKS * size // (MOST_CHUNKS - 2 * BURST))
+    close = [k for k in range(len(ends) - BURST) if ends[k + BURST] - ends[k] < apart]
+    if not close:
+        return ends
+    crowded = {k for first in close for k in range(first, first + BURST + 1)}
+    windows = [raw[max(0, end - WINDOW) : end] for end in ends]
+
+    def least(k: int) -> bool:
+        for step in (-1, 1):
+            at = k + step
+            while 0 <= at < len(ends) and BURST * abs(ends[at] - ends[k]) < apart:
+                if windows[at] < windows[k]:
+                    return False
+                at += step
+        return True
+
+    kept: list[int] = []
+    for k, end in enumerate(ends):
+        if k in crowded and (kept and BURST * (end - kept[-1]) < apart or not least(k)):
+            continue
+        if len(kept) < BURST or end - kept[-BURST] >= apart:
+            kept.append(end)
+    return kept
+
+
+def signature(raw: bytes, ends: list[int], size: int) -> str:
+    """Two characters for each chunk.  A chunk of more than ``LONGEST`` blocks (as in
     text that repeats itself without a boundary) is cut every so many bytes from its start."""
-    ends = ends if ends and ends[-1] == len(raw) else [*ends, len(raw)]
-    cuts, at = [], 0
-    for end in ends:
+    cuts, at, longest = [], 0, LONGEST * size
+    for end in [*(e for e in thinned(raw, ends, size) if e < len(raw)), len(raw)]:
         cuts += range(at + longest, end, longest)
         cuts.append(end)
         at = end
-        if len(cuts) >= MOST_CHUNKS:
-            cuts = [*cuts[: MOST_CHUNKS - 1], len(raw)]
-            break
     out, at, view = [], 0, memoryview(raw)
     for end in cuts:
         out.append(SYMBOLS[zlib.crc32(view[at:end]) & 4095])
@@ -99,7 +131,7 @@ def fingerprint(text: str) -> str:
     if not raw:
         return f"{size}::"
     fine, coarse = boundaries(raw, size)
-    return f"{size}:{signature(raw, fine, LONGEST * size)}:{signature(raw, coarse, 2 * LONGEST * size)}"
+    return f"{size}:{signature(raw, fine, size)}:{signature(raw, coarse, 2 * size)}"
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:

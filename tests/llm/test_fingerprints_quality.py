@@ -51,6 +51,33 @@ def test_likeness():
     assert len(fp.fingerprint("ab " * 1_000_000)) < 600  # periodic text: signatures stay bounded
 
 
+@pytest.mark.parametrize("period", [7, 12, 40])
+def test_half_of_a_periodic_text(period):
+    draw = random.Random(period)
+    tried = 0
+    while tried < 10:
+        stretch = "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(period))
+        text = (stretch * 3000)[: 200 * period]
+        size = fp.block_size(len(text))
+        if len(fp.boundaries(text.encode(), size)[0]) < fp.MOST_CHUNKS:
+            continue
+        tried += 1
+        other = " ".join(f"w{draw.randrange(9999)}" for _ in range(len(text) // 4))
+        same, half = fp.fingerprint(text), fp.fingerprint(fp.edited(text, other))
+        assert 0.4 < fp.likeness(same, half) < 0.65
+        assert len(same.split(":")[1]) <= 2 * fp.MOST_CHUNKS
+        assert fp.likeness(same, fp.fingerprint("xx" + text)) > 0.9  # the rest is cut alike
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.integers(1, 400), st.lists(st.integers(1, 400), max_size=400))
+def test_signatures_are_bounded_without_a_rest(size, gaps):
+    ends, n = np.cumsum(gaps).tolist(), fp.CHUNKS * size
+    ends = [e for e in ends if e <= n]
+    assert set(fp.thinned(bytes(n), ends, size)) <= set(ends)
+    assert len(fp.signature(bytes(n), ends, size)) <= 2 * fp.MOST_CHUNKS
+
+
 def plain(rows):
     order = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
     out = []
