@@ -111,13 +111,33 @@ def exact_dedup(
     return settled.select(*cols).unionByName(rest.select(*cols))
 
 
+def one_of_each(rows: DataFrame, keys: list[str], row_col: str) -> DataFrame:
+    """One row for each value of ``keys``: the struct ``row_col`` whose JSON text comes
+    first.  Partial aggregation, so a hot key costs one row per task."""
+    return rows.groupBy(*keys).agg(F.min_by(row_col, F.to_json(row_col)).alias(row_col))
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text an earlier id holds; all columns stay."""
-    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept"))
-    gone = gone.select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_gone_text")).distinct()
-    gone = bounded_broadcast(materialize(gone), BROADCAST_ROWS)
-    same = F.col(id_col).eqNullSafe(F.col("_gone")) & (text_digest(text_col) == F.col("_gone_text"))
-    return docs.join(gone, same, "left_anti")
+    """``docs`` without the rows whose text an earlier id holds; all columns stay.
+
+    Of rows alike in id and text (repeated rows, or a group in which no row has
+    an id) one stays, by the order of their JSON texts."""
+    copies = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
+    ruled = copies.select(F.col(id_col).alias("_ruled"), F.col("text_sha256").alias("_ruled_text"), "kept")
+    ruled = ruled.groupBy("_ruled", "_ruled_text", "kept").agg(F.count(F.lit(1)).alias("n"))
+    ruled = materialize(ruled.filter("NOT kept OR n > 1"))
+    same = F.col(id_col).eqNullSafe(F.col("_ruled")) & (text_digest(text_col) == F.col("_ruled_text"))
+    gone = bounded_broadcast(ruled.select("_ruled", "_ruled_text"), BROADCAST_ROWS)
+    alone = docs.join(gone, same, "left_anti")
+    repeated = ruled.filter("kept").select("_ruled", "_ruled_text")
+    if repeated.isEmpty():
+        return alone
+    repeated = bounded_broadcast(repeated, BROADCAST_ROWS)
+    held = docs.join(repeated, same, "left_semi").select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(id_col).alias("_id"), text_digest(text_col).alias("_digest"),
+    )
+    return alone.unionByName(one_of_each(held, ["_id", "_digest"], "_row").select("_row.*"))
 
 
 @llm_query(

@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import runs, scan, slices, text_of
 from quarry.llm.components import components
+from quarry.llm.exact_dedup import one_of_each, text_digest
 from quarry.llm.registry import llm_query
 from quarry.operators.joins import bounded_broadcast
+from quarry.operators.ordinal import with_ordinal
 from quarry.session import materialize
 
 SHINGLE = 5
@@ -300,8 +302,29 @@ def near_duplicates(
     return joined.unionByName(alone).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+def with_surrogates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_id, _text, _row`` of ``docs``: rows without id get ids above all others, in the
+    order of their texts' digests, and of those with equal texts one stays."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), row)
+    nameless = rows.filter("_id IS NULL").withColumn("_digest", text_digest("_text"))
+    numbered = with_ordinal(nameless.select("_digest").distinct(), ["_digest"], name="_pos")
+    top = rows.agg(F.max("_id")).first()[0] or 0
+    numbered = numbered.select("_digest", (F.col("_pos") + F.lit(top) + 1).alias("_id"))
+    once = one_of_each(nameless.select("_digest", "_row"), ["_digest"], "_row")
+    once = once.join(bounded_broadcast(numbered, BROADCAST_IDS), "_digest")
+    named = once.select("_id", F.col("_row").getField(text_col).alias("_text"), "_row")
+    return rows.filter("_id IS NOT NULL").unionByName(named)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document (the smallest id) of each component; all columns stay."""
+    """``docs`` with one document (the smallest id) of each component; all columns stay.
+
+    Rows without id take part and come after all ids; a component of such rows alone
+    keeps the one whose text has the smallest digest."""
+    if not docs.filter(F.col(id_col).isNull()).isEmpty():
+        rows = with_surrogates(docs, id_col, text_col)
+        return drop_near_duplicates(rows, "_id", "_text").select("_row.*")
     gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
     gone = bounded_broadcast(materialize(gone), BROADCAST_IDS)
     return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")

@@ -53,6 +53,20 @@ def test_dropping_keeps_all_columns_and_other_texts_of_an_id(spark):
     assert rows_of(drop_exact_duplicates(df), "doc_id", "text", "keep_id") == [(1, "x", "p"), (2, "y", "r")]
 
 
+def test_one_of_the_rows_alike_in_id_and_text_stays(spark):
+    rows = [(1, "x", "p"), (1, "x ", "q"), (1, "x", "p"), (1, "y", "r"), (2, "x", "s"), (2, "z", "t")]
+    rows += [(None, "n  n", "b"), (None, "n n", "a"), (None, "y", "u"), (None, "m", "v"), (None, None, "w"), (None, "", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(4)
+    got = drop_exact_duplicates(df)
+    assert got.columns == df.columns
+    want = [(1, "x", "p"), (1, "x ", "q"), (1, "y", "r"), (2, "z", "t"), (None, "m", "v")]
+    some = [r for r in rows_of(got, "doc_id", "text", "_row") if r[2] not in ("a", "b", "w")]
+    assert some == sorted(want, key=repr)
+    assert got.filter("doc_id IS NULL").count() == 3 and got.filter("_row IN ('a', 'b')").count() == 1
+    again = drop_exact_duplicates(df.repartition(7))
+    assert rows_of(again, *df.columns) == rows_of(got, *df.columns)
+
+
 def test_query_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_SMALL}/documents.parquet'")

@@ -81,6 +81,17 @@ def test_odd_rows(spark):
     assert sorted(r.doc_id for r in kept.filter("doc_id IS NOT NULL").collect()) == [0, 1, 2, 3, 4, 7, 8, 9]
 
 
+def test_rows_without_id_join_the_near_stage(spark):
+    other = " ".join(f"o{k}" for k in range(160))
+    rows = [(4, PROSE, "p"), (None, PROSE + " end", "q"), (None, other, "r"), (None, other + " end", "s"),
+            (None, other + "  end", "t"), (None, "one two", "u"), (None, "", "v"), (9, other[:300], "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id string").repartition(3)
+    got = minhash.drop_near_duplicates(df)
+    assert got.columns == df.columns
+    kept = [r[0] for r in rows_of(got, "_id")]
+    assert [k for k in kept if k not in "rst"] == ["p", "u", "v", "w"] and len(kept) == 5
+
+
 @pytest.mark.parametrize("blocks", [(4096, 2_000_000), (16, 3000)])
 def test_group_of_near_copies(spark, monkeypatch, blocks):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", blocks[0])
