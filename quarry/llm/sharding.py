@@ -22,11 +22,14 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import scan, text_of
 from quarry.llm.registry import llm_query
+from quarry.operators.ordinal import with_ordinal
 from quarry.session import materialize
 
 SHARDS = 40
 VNODES = 64
 POINTS = 1 << 16
+#: Rows of a point that one task ranks, at least; more than this and ``HOT_TIMES`` the mean are ranked by ranges.
+HOT_ROWS, HOT_TIMES = 10_000, 16
 #: Bytes that a row takes beside its text.
 ROW_BYTES = 16
 
@@ -92,6 +95,30 @@ def ring_point(id_: Column, instead: Column, points: int = POINTS) -> Column:
     return F.pmod(key, F.lit(points)).cast("int")
 
 
+def ranked_on_points(rows: DataFrame, order: list[str], on_point: dict[int, int]) -> DataFrame:
+    """``rows`` with ``_n``, the rank on their point from 0 on.
+
+    Points that hold very many rows (one id again and again) are numbered by
+    ranges over the cluster, in the same order; rows alike are spread by a
+    number of their own."""
+    bound = max(HOT_ROWS, HOT_TIMES * sum(on_point.values()) // POINTS)
+    hot, before = [], 0
+    for point in sorted(on_point):
+        if on_point[point] > bound:
+            hot.append((point, before))
+            before += on_point[point]
+    alone = Window.partitionBy("_point").orderBy(*order)
+    number = F.row_number().over(alone).cast("long") - 1
+    if not hot:
+        return rows.withColumn("_n", number)
+    # Fewer than POINTS / HOT_TIMES rows.
+    hot = F.broadcast(rows.sparkSession.createDataFrame(hot, "_point int, _before long"))
+    spread = rows.join(hot, "_point").withColumn("_own", F.monotonically_increasing_id())
+    spread = with_ordinal(spread, ["_point", *order, "_own"], name="_n").withColumn("_n", F.col("_n") - F.col("_before"))
+    rest = rows.join(hot, "_point", "left_anti").withColumn("_n", number)
+    return rest.unionByName(spread.select(*rest.columns))
+
+
 def shard_by_ring(
     docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", vnodes: int = VNODES
 ) -> DataFrame:
@@ -135,9 +162,8 @@ def shard_by_ring(
         [(p, first_rank[p], by_arc[arcs[p]]) for p in on_point],
         "_point int, _first long, _runs array<struct<first:long,past:long,shard:int,slot:long>>",
     )
-    order = Window.partitionBy("_point").orderBy(id_col, "text_crc32", "size")
     ranked = (
-        rows.withColumn("_n", F.row_number().over(order).cast("long") - 1)
+        ranked_on_points(rows, [id_col, "text_crc32", "size"], on_point)
         .join(F.broadcast(targets), "_point")
         .withColumn("_n", F.col("_n") + F.col("_first"))
         .withColumn("_run", F.filter("_runs", lambda r: (r["first"] <= F.col("_n")) & (F.col("_n") < r["past"]))[0])

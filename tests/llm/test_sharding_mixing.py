@@ -7,6 +7,8 @@ import duckdb
 import pytest
 from conftest import SF_SMALL
 from helpers import ODD, empty_table, odd_table, rows_of
+from pyspark.sql import functions as F
+from quarry.llm import sharding
 from quarry.llm.mixing import mix, mixed_documents, source_targets
 from quarry.llm.registry import ORACLE, QUERIES
 from quarry.llm.sharding import arc_of_points, capacities, place, ring, shard_by_ring
@@ -93,6 +95,24 @@ def test_one_id_for_most_rows(spark):
     check_shards(shard_by_ring(df, 8).collect(), rows, 8)
 
 
+def test_a_hot_point_is_ranked_by_several_tasks(spark, monkeypatch):
+    rows = [(7, f"t{k}") for k in range(300)] + [(None, "same")] * 600 + [(k, "u") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    cols = ["doc_id", "text_crc32", "size", "shard", "slot"]
+    want, tasks = rows_of(shard_by_ring(df, 8), *cols), []
+    numbered = sharding.with_ordinal
+
+    def spy(frame, order, **more):
+        out = numbered(frame, order, **more)
+        tasks.extend(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        return out
+
+    monkeypatch.setattr(sharding, "HOT_ROWS", 50)
+    monkeypatch.setattr(sharding, "with_ordinal", spy)
+    assert rows_of(shard_by_ring(df, 8), *cols) == want
+    assert sum(tasks) >= 900 and max(tasks) < 300  # 600 rows are alike
+
+
 def test_sharding_query_and_movement(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()]
     check_shards(QUERIES["op7_sharding"](spark, SF_SMALL).collect(), docs, 40)
