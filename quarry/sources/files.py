@@ -72,8 +72,11 @@ def read_csv_multiline(spark: SparkSession, path: str, schema: T.StructType | st
             .option("quote", '"').option("escape", '"').csv(path))
 
 
-#: A character that no odd run of backslashes stands before (runs of up to 199).
-_NOT_ESCAPED = r"(?<=(?<!\\)(?:\\\\){0,99})"
+def _pieces(column: str, mark: str):
+    """What stands between marks that no backslash escapes: plain characters and
+    escaped pairs are matched as such, so runs of backslashes may have any length."""
+    piece = rf"(?s){mark}([^\\{mark}]*+(?:\\.[^\\{mark}]*+)*+\\?)"
+    return F.regexp_extract_all(F.concat(F.lit(mark), F.col(column)), F.lit(piece), F.lit(1))
 
 
 def read_escaped_csv(spark: SparkSession, path: str, columns: list[str],
@@ -84,12 +87,11 @@ def read_escaped_csv(spark: SparkSession, path: str, columns: list[str],
     ``max_rows`` keeps the head in file and record order; by default all
     records are read."""
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
-    records = files.select("_file", F.posexplode(F.split("value", _NOT_ESCAPED + r"\n", -1)).alias("_n", "_record"))
+    records = files.select("_file", F.posexplode(_pieces("value", "\n")).alias("_n", "_record"))
     records = records.filter((F.col("_n") > 0) & (F.col("_record") != ""))
     if max_rows is not None:
         records = records.orderBy("_file", "_n").limit(max_rows)
-    fields = F.split(F.col("_record"), _NOT_ESCAPED + ",", -1)
-    plain = F.transform(fields, lambda c: F.regexp_replace(c, r"(?s)\\(.)", "$1"))
+    plain = F.transform(_pieces("_record", ","), lambda c: F.regexp_replace(c, r"(?s)\\(.)", "$1"))
     return records.select(*[F.get(plain, i).alias(c) for i, c in enumerate(columns)])
 
 

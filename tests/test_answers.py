@@ -42,6 +42,14 @@ def test_markers_over_several_splits(spark, scratch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+def test_long_runs_of_backslashes_before_a_delimiter(spark, scratch):
+    path = f"{scratch}/runs"
+    rows = [(f"{n}" + "\\" * n, "x," * 3 + "\\" * n, "\n" * n) for n in (0, 1, 99, 100, 101, 5000)] + [("", "y" * 300_000, "")]
+    files.write_escaped_csv(spark.createDataFrame(rows, "a string, b string, c string").coalesce(1), path)
+    got = [tuple(r) for r in files.read_escaped_csv(spark, path, ["a", "b", "c", "d"]).collect()]
+    assert got == [(*r, None) for r in rows]
+
+
 def test_escaped_backslash_before_a_delimiter(spark, scratch):
     path = _write(scratch, "e.csv", "a,b\nx\\\\,y\nx\\,y,z\\\\\na,b\nq\\\nr,s\n\n")
     rows = [tuple(r) for r in files.read_escaped_csv(spark, path, ["a", "b"]).collect()]
