@@ -96,9 +96,14 @@ def pack(
     Rows are cut into ``num_shards`` contiguous shards (as parallel workers of
     the reference are), batches are counted within a shard.  ``more_cols`` are
     arrays of the ids' length that are cut alike.  ``lengths`` is ``(order_col,
-    n)`` if it can be had cheaper than from the arrays."""
+    n)`` if it can be had cheaper than from the arrays.  Null keys come first;
+    rows of one key go by length, each with its own tokens."""
     sizes = lengths if lengths is not None else rows.select(order_col, F.size(ids_col).cast("bigint").alias("n"))
-    numbered = with_ordinal(sizes.select(order_col, "n"), [order_col], name="pos")
+    numbered = with_ordinal(sizes.select(order_col, "n"), [order_col, "n"], name="pos")
+    held = numbered.groupBy(order_col).agg(F.count(F.lit(1)).alias("_held"))
+    unique = held.filter((F.col("_held") > 1) | F.col(order_col).isNull()).isEmpty()
+    peer = F.lit(0) if unique else F.col("pos") - F.min("pos").over(Window.partitionBy(order_col))
+    numbered = numbered.withColumn("_peer", peer.cast("bigint"))
     total_rows = numbered.count() if num_shards > 1 else 0
     # Contiguous shards: the first ``total % num_shards`` hold one row more.
     small, extra = divmod(total_rows, num_shards)
@@ -114,9 +119,16 @@ def pack(
         "batch", F.floor((F.col("pos") - first) / batch_rows).cast("bigint"))
     b = b.withColumn("start", running_offset("n", ["shard", "batch"], "pos")).withColumn(
         "total", F.sum("n").over(in_batch)).filter(F.col("n") > 0)
-    b = b.select("shard", "batch", "start", "n", "total", F.col(order_col).alias("_order"))
+    b = b.select("shard", "batch", "start", "n", "total", "_peer", F.col(order_col).alias("_order"))
     arrays = [ids_col, *more_cols]
-    b = b.join(rows.select(F.col(order_col).alias("_order"), *arrays), "_order")
+    lists = rows.select(F.col(order_col).alias("_own"), *arrays)
+    if unique:
+        b = b.join(lists, F.col("_order") == F.col("_own"))
+    else:
+        by_length = Window.partitionBy("_own").orderBy(
+            F.greatest(F.size(ids_col), F.lit(0)), *(F.col(c).cast("string") for c in arrays))
+        lists = lists.withColumn("_nth", F.row_number().over(by_length).cast("bigint") - 1)
+        b = b.join(lists, F.col("_order").eqNullSafe(F.col("_own")) & (F.col("_peer") == F.col("_nth")))
     lo_block = F.floor(F.col("start") / block)
     hi_block = F.floor((F.col("start") + F.col("n") - 1) / block)
     frags = b.select(

@@ -57,6 +57,17 @@ def test_sentence_chunks_properties(spark):
     _check_chunks(docs.toPandas(), ch, 1750, 100, oversize_ok=True)
 
 
+def test_packing_keeps_null_and_repeated_keys(spark):
+    # Shuffled ids: each list's tokens are its own number, as often as it is long.
+    lists = [(None, 5), (None, 3), (1, 4), (2, 2), (2, 6), (2, 1), (2, 0), (3, 3)]
+    rows = [(key, [n] * size) for n, (key, size) in enumerate(lists, 1)]
+    df = spark.createDataFrame(rows, "k long, ids array<bigint>").repartition(3)
+    got = P.pack(df, order_col="k", block=4, batch_rows=50).orderBy("block").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1])))
+    flat = [t for _, ids in order for t in ids]
+    assert [r.input_ids for r in got] == [flat[k : k + 4] for k in range(0, len(flat), 4)]
+
+
 def plain_pack(rows, block, batch_rows):
     out = []
     for bi in range(0, len(rows), batch_rows):
