@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quarry.llm import (  # noqa: F401
     exact_dedup,
+    fim,
     minhash,
     mixing,
     fingerprints,
