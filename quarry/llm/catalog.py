@@ -14,6 +14,7 @@ from quarry.llm import (  # noqa: F401
     sharding,
     suffixes,
     token_counts,
+    wrappers,
 )
 from quarry.llm.registry import ORACLE, QUERIES
 
