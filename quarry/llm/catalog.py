@@ -10,6 +10,7 @@ from quarry.llm import (  # noqa: F401
     fingerprints,
     packing,
     quality,
+    repair,
     secrets,
     sharding,
     suffixes,
