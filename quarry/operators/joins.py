@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.dictionary import encode
+from quarry.session import materialize
+
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 << 20
 
@@ -65,22 +68,18 @@ def dictionary_filter(
     tokens: Column,
     vocab: DataFrame,
     word_col: str = "word",
-    max_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Keep tokens whose lower case is in ``vocab``, in order, joined by a
     space; a document whose tokens all fail gives ``''``.
 
-    Tokens are exploded once with their position, a document without any keeping
-    a row, and marked by a left join with the vocabulary (broadcast when its size
-    is proven small, otherwise a shuffle join that AQE splits on hot tokens); the
-    marked ones are put together per document."""
-    toks = docs.select(doc_key, F.posexplode_outer(tokens).alias("tpos", "tok"))
-    v = vocab.select(F.col(word_col).alias("_w")).distinct()
-    v = bounded_broadcast(v, max_rows)
-    marked = toks.join(v, F.lower(F.col("tok")) == F.col("_w"), "left")
-    kept = F.collect_list(F.when(F.col("_w").isNotNull(), F.struct("tpos", "tok")))
-    words = F.transform(F.sort_array(kept), lambda x: x["tok"])
-    return marked.groupBy(doc_key).agg(F.array_join(words, " ").alias("text"))
+    Texts are encoded against the vocabulary where they lie
+    (``dictionary.encode``); no row per token is made."""
+    words = vocab.select(F.col(word_col).alias("word")).distinct().select("word", F.lit(1).cast("bigint").alias("id"))
+    words = materialize(words.filter("word IS NOT NULL"))
+    held = docs.select(doc_key, F.coalesce(tokens, F.array().cast("array<string>")).alias("_held"))
+    marked = encode(held, F.transform("_held", F.lower), words, "_mark")
+    kept = F.filter("_held", lambda w, i: F.get(F.col("_mark"), i).isNotNull())
+    return marked.select(doc_key, F.array_join(kept, " ").alias("text"))
 
 
 def lookup_first(keys: DataFrame, table: DataFrame, key: str, order_col: str) -> DataFrame:

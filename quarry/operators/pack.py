@@ -3,30 +3,33 @@
 ``tokenize`` (J4): words -> ids through a vocabulary table ranked by corpus
 frequency (id 1 = most frequent, ties by the word's bytes, 0 reserved for
 padding), or through a user's tokenizer.  The ranking uses the distributed
-ordinal, never a global window.  Documents are read once: empty ones keep a
-row without word, and token rows meet the vocabulary through a size-checked
-broadcast, or a shuffle join that AQE splits on hot words.
-
-``pack`` (J5/J6): only keys and lengths are numbered, cut into batches of
-``batch_rows`` and summed (a window over one bounded batch); the offsets then
-meet the token arrays by key, each row emits one fragment per block it touches,
-and blocks are assembled by ``groupBy(shard, batch, block)``.  No row is wider
-than one block and no task sees more than one block's tokens at a time; the
-remainder of each batch that does not fill a block is dropped.
+ordinal, never a global window; texts are encoded by ``dictionary.encode``,
+without a row per token.
+
+``pack`` (J5/J6): rows are laid out in order over the partitions once and stay
+there.  Each partition cuts its own batches into blocks while it reads; only
+the ends of a block that lies across two partitions (one or two pieces a
+partition, each shorter than a block) are sent on and put together.  A
+partition learns from one row per partition and batch at its edges how many
+tokens of its first batch lie before it.  The remainder of each batch that
+does not fill a block is dropped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import whitespace_tokens
+from quarry.operators.dictionary import encode, pieces
 from quarry.operators.hooks import cached_model, model_digest
-from quarry.operators.joins import bounded_broadcast
-from quarry.operators.ordinal import running_offset, with_ordinal
+from quarry.operators.ordinal import with_ordinal
+from quarry.session import materialize
 
 PAD_ID = 0
 IGNORE_INDEX = -100
@@ -58,11 +61,8 @@ def tokenize(
     if tokenizer is not None:
         ided = _user_ids(docs.select(*key_cols, text.alias("_text")), key_cols, tokenizer, out)
     else:
-        toks = docs.select(*key_cols, F.posexplode_outer(whitespace_tokens(text)).alias("tpos", "word"))
-        v = bounded_broadcast(vocab.select("word", "id"))
-        found = F.when(F.col("tpos").isNotNull(), F.struct("tpos", "id"))
-        ids = F.transform(F.sort_array(F.collect_list(found)), lambda x: x["id"])
-        ided = toks.join(v, "word", "left").groupBy(*key_cols).agg(ids.alias(out))
+        keyed = docs.select(*key_cols, whitespace_tokens(text).alias("_words"))
+        ided = encode(keyed, F.col("_words"), vocab, out).select(*key_cols, out)
     return ided.withColumn(mask, F.transform(out, lambda x: F.lit(1))) if mask else ided
 
 
@@ -88,22 +88,18 @@ def pack(
     batch_rows: int = 1000,
     num_shards: int = 1,
     more_cols: tuple[str, ...] = (),
-    lengths: DataFrame | None = None,
 ) -> DataFrame:
     """``(shard, batch, block, input_ids, labels, ...)``: concatenation of each
     batch's token lists cut into ``block``-sized pieces; labels copy the ids.
 
     Rows are cut into ``num_shards`` contiguous shards (as parallel workers of
     the reference are), batches are counted within a shard.  ``more_cols`` are
-    arrays of the ids' length that are cut alike.  ``lengths`` is ``(order_col,
-    n)`` if it can be had cheaper than from the arrays.  Null keys come first;
-    rows of one key go by length, each with its own tokens."""
-    sizes = lengths if lengths is not None else rows.select(order_col, F.size(ids_col).cast("bigint").alias("n"))
-    numbered = with_ordinal(sizes.select(order_col, "n"), [order_col, "n"], name="pos")
-    held = numbered.groupBy(order_col).agg(F.count(F.lit(1)).alias("_held"))
-    unique = held.filter((F.col("_held") > 1) | F.col(order_col).isNull()).isEmpty()
-    peer = F.lit(0) if unique else F.col("pos") - F.min("pos").over(Window.partitionBy(order_col))
-    numbered = numbered.withColumn("_peer", peer.cast("bigint"))
+    arrays of the ids' length that are cut alike.  Null keys come first; rows
+    of one key go by length, then by a hash of their ids; null lists are empty."""
+    arrays = [ids_col, *more_cols]
+    given = [F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)).alias(c) for c in arrays]
+    lists = rows.select(F.col(order_col).alias("_order"), *given)
+    numbered = with_ordinal(lists, [F.col("_order"), F.size(ids_col), F.xxhash64(ids_col)], name="pos").drop("_order")
     total_rows = numbered.count() if num_shards > 1 else 0
     # Contiguous shards: the first ``total % num_shards`` hold one row more.
     small, extra = divmod(total_rows, num_shards)
@@ -114,38 +110,85 @@ def pack(
     first = F.lit(0) if num_shards == 1 else F.when(
         F.col("shard") < extra, F.col("shard") * (small + 1)).otherwise(
         F.lit(cut) + (F.col("shard") - extra) * small)
-    in_batch = Window.partitionBy("shard", "batch")
-    b = numbered.withColumn("shard", shard.cast("bigint")).withColumn(
-        "batch", F.floor((F.col("pos") - first) / batch_rows).cast("bigint"))
-    b = b.withColumn("start", running_offset("n", ["shard", "batch"], "pos")).withColumn(
-        "total", F.sum("n").over(in_batch)).filter(F.col("n") > 0)
-    b = b.select("shard", "batch", "start", "n", "total", "_peer", F.col(order_col).alias("_order"))
-    arrays = [ids_col, *more_cols]
-    lists = rows.select(F.col(order_col).alias("_own"), *arrays)
-    if unique:
-        b = b.join(lists, F.col("_order") == F.col("_own"))
-    else:
-        by_length = Window.partitionBy("_own").orderBy(
-            F.greatest(F.size(ids_col), F.lit(0)), *(F.col(c).cast("string") for c in arrays))
-        lists = lists.withColumn("_nth", F.row_number().over(by_length).cast("bigint") - 1)
-        b = b.join(lists, F.col("_order").eqNullSafe(F.col("_own")) & (F.col("_peer") == F.col("_nth")))
-    lo_block = F.floor(F.col("start") / block)
-    hi_block = F.floor((F.col("start") + F.col("n") - 1) / block)
-    frags = b.select(
-        "shard", "batch", "start", "n", *arrays, "total", F.explode(F.sequence(lo_block, hi_block)).alias("block"),
-    ).filter(F.col("block") < F.floor(F.col("total") / block))
-    lo = F.greatest(F.col("start"), F.col("block") * block)
-    hi = F.least(F.col("start") + F.col("n"), (F.col("block") + 1) * block)
-    at, n = (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")
-    frags = frags.select("shard", "batch", "block", "start", *[F.slice(c, at, n).alias(c) for c in arrays])
+    laid = numbered.withColumn("shard", shard.cast("bigint")).withColumn(
+        "batch", F.floor((F.col("pos") - first) / batch_rows).cast("bigint")).withColumn("_pid", F.spark_partition_id())
+    # Tokens of the first and the last batch of every partition: one or two rows each.
+    sizes = laid.groupBy("_pid", "shard", "batch").agg(F.sum(F.size(ids_col)).cast("bigint").alias("n"))
+    edges = sizes.groupBy("_pid").agg(
+        F.min(F.struct("shard", "batch", "n")).alias("low"), F.max(F.struct("shard", "batch", "n")).alias("high"))
+    edges = edges.select("_pid", F.explode(F.array_distinct(F.array("low", "high"))).alias("e")).select("_pid", "e.*")
+    before = Window.partitionBy("shard", "batch").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carried = edges.select("_pid", "shard", "batch", F.sum("n").over(before).alias("_carry")).filter("_carry > 0")
+    starts = laid.select("shard", "batch", "_pid", *arrays).join(F.broadcast(carried), ["_pid", "shard", "batch"], "left")
+    held = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in arrays]
+    shape = f"shard bigint, batch bigint, block bigint, start bigint, {', '.join(held)}"
+    cuts = starts.select("shard", "batch", F.coalesce("_carry", F.lit(0)).cast("bigint").alias("_carry"), *arrays)
+    cuts = cuts.mapInArrow(_cut(block, arrays), shape)
 
     def joined(col: str) -> Column:
         parts = F.sort_array(F.collect_list(F.struct("start", F.col(col).alias("frag"))))
-        return F.flatten(F.transform(parts, lambda x: x["frag"]))
-
-    blocks = frags.groupBy("shard", "batch", "block").agg(
-        joined(ids_col).alias("input_ids"), *[joined(c).alias(c) for c in more_cols])
-    return blocks.withColumn("labels", F.col("input_ids"))
+        return F.flatten(F.transform(parts, lambda x: x["frag"])).alias(col)
+
+    # Whole blocks have no start; the others are pieces of blocks across partitions.
+    cuts = materialize(cuts)
+    keys = ["shard", "batch", "block"]
+    whole = cuts.filter("start IS NULL").select(*keys, *arrays)
+    mended = cuts.filter("start IS NOT NULL").groupBy(*keys).agg(*[joined(c) for c in arrays])
+    blocks = whole.unionByName(mended.filter(F.size(ids_col) == block))
+    return blocks.select(
+        *keys, F.col(ids_col).alias("input_ids"), *[F.col(c) for c in more_cols], F.col(ids_col).alias("labels"))
+
+
+def _cut(block: int, names: list[str]):
+    """Rows ``(shard, batch, carry, lists...)`` of a partition, in order, to blocks and edge pieces."""
+
+    def lists(flat: pa.Array, rows: int) -> pa.Array:
+        offsets = np.arange(rows + 1, dtype=np.int32) * (len(flat) // max(rows, 1))
+        return pa.ListArray.from_arrays(pa.array(offsets), flat)
+
+    def made(shard: int, batch: int, numbers, start, flats: list[pa.Array]) -> pa.RecordBatch:
+        rows = len(numbers)
+        ends = [pa.array([x] * rows, pa.int64()) for x in (shard, batch)]
+        columns = [*ends, pa.array(numbers, pa.int64()), pa.array([start] * rows, pa.int64()), *(lists(f, rows) for f in flats)]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "batch", "block", "start", *names])
+
+    def run(batches):
+        key, at, rest = None, 0, None
+        for batch in batches:
+            for part in pieces(batch):
+                keys = np.stack([part.column(k).to_numpy(zero_copy_only=False) for k in (0, 1)])
+                cuts = np.flatnonzero((np.diff(keys) != 0).any(axis=0)) + 1
+                edges = [0, *cuts.tolist(), part.num_rows]
+                for a, z in zip(edges[:-1], edges[1:], strict=True):
+                    some = part.slice(a, z - a)
+                    flats = [c.flatten() for c in some.columns[3:]]
+                    if (int(keys[0, a]), int(keys[1, a])) != key:
+                        # What is left of the batch before does not fill a block.
+                        key = (int(keys[0, a]), int(keys[1, a]))
+                        at, rest = some.column(2)[0].as_py(), None
+                    if rest is not None:
+                        flats = [pa.concat_arrays([r, f]) for r, f in zip(rest, flats, strict=True)]
+                        at -= len(rest[0])
+                    if at % block:
+                        # The open block of an earlier partition goes on here.
+                        n = min(block - at % block, len(flats[0]))
+                        if n:
+                            yield made(*key, [at // block], at, [f.slice(0, n) for f in flats])
+                        flats, at = [f.slice(n) for f in flats], at + n
+                        if at % block:
+                            rest = None
+                            continue
+                    full = len(flats[0]) // block
+                    if full:
+                        taken = [f.slice(0, full * block) for f in flats]
+                        yield made(*key, list(range(at // block, at // block + full)), None, taken)
+                    rest = [f.slice(full * block) for f in flats]
+                    at += full * block + len(rest[0])
+        if rest is not None and len(rest[0]):
+            begin = at - len(rest[0])
+            yield made(*key, [begin // block], begin, rest)
+
+    return run
 
 
 def pad_right(ids: Column, length: int, pad: int = PAD_ID) -> Column:

@@ -15,6 +15,7 @@ from quarry.operators.layout import spread
 from quarry.plans import fixtures as fx
 from quarry.plans.registry import query
 from quarry.plans.retrieval import sql_tokens
+from quarry.session import materialize
 from quarry.sources.tables import table
 
 BLOCK = 1024
@@ -158,9 +159,7 @@ FROM g GROUP BY batch, blk""",
 def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
     """J5 + J6: 1000-row batches packed into 1024-token blocks."""
     ids, _ = _doc_ids(spark, d)
-    n = F.size(whitespace_tokens(F.coalesce("text", F.lit("")))).cast("bigint").alias("n")
-    blocks = P.pack(ids, order_col="doc_id", ids_col="ids", block=BLOCK, batch_rows=BATCH_ROWS,
-                    lengths=_docs(spark, d).select("doc_id", n))
+    blocks = P.pack(ids, order_col="doc_id", ids_col="ids", block=BLOCK, batch_rows=BATCH_ROWS)
     return blocks.select("batch", F.col("block").cast("bigint").alias("block"),
                          F.array_join("input_ids", " ").alias("input_ids"),
                          F.array_join("labels", " ").alias("labels"))
@@ -228,7 +227,8 @@ def pad_batch(spark: SparkSession, d: str) -> DataFrame:
     with the attention mask."""
     q = spread(fx.questions(spark, d))
     vocab = P.build_vocab(q, "question")
-    ids = P.tokenize(q, vocab, key_cols=["conv_id", "turn"], text=F.col("question")).persist()
+    ids = P.tokenize(q, vocab, key_cols=["conv_id", "turn"], text=F.col("question"))
+    ids = materialize(ids)
     longest = ids.agg(F.max(F.size("ids"))).first()[0] or 0
     return ids.select("conv_id", "turn", *P.pad_left(F.col("ids"), int(longest))).select(
         "conv_id", "turn", F.array_join("input_ids", " ").alias("input_ids"),

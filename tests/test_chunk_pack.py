@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import chunk as C
 from quarry.operators import pack as P
+from quarry.operators.dictionary import encode
 from quarry.operators.ordinal import with_ordinal
 
 from conftest import SF_MID, SF_SMALL
@@ -156,3 +157,53 @@ def test_padding_is_cut_to_the_maximum(spark):
     df = spark.createDataFrame([([1, 2, 3],), ([4],)], "ids array<long>")
     got = [tuple(map(tuple, r)) for r in df.select(*P.pad_left(F.col("ids"), 3, max_length=2)).collect()]
     assert got == [((1, 2), (1, 1)), ((0, 4), (0, 1))]
+
+
+def test_blocks_across_many_partitions(spark):
+    rng = random.Random(3)
+    rows = [[rng.randrange(1, 9) for _ in range(rng.choice([0, 1, 3, 50]))] for _ in range(120)]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "k long, ids array<bigint>").repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for partitions in (1, 7, 60):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        try:
+            for block, batch_rows in ((16, 50), (400, 120), (5, 3)):
+                got = P.pack(df, order_col="k", block=block, batch_rows=batch_rows).collect()
+                assert sorted((r.batch, r.block, list(r.input_ids)) for r in got) == sorted(plain_pack(rows, block, batch_rows))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pack_of_no_rows_and_null_lists(spark):
+    df = spark.createDataFrame([(1, None), (2, [1, 2, 3]), (None, [4])], "k long, ids array<bigint>")
+    assert [r.input_ids for r in P.pack(df, order_col="k", block=2).orderBy("block").collect()] == [[4, 1], [2, 3]]
+    assert P.pack(df.limit(0), order_col="k", block=2).count() == 0
+
+
+def test_packing_joins_no_arrays_by_key(spark):
+    df = spark.createDataFrame([(k, [k] * 9) for k in range(50)], "k long, ids array<bigint>")
+    plans = []
+    materialized = P.materialize
+    try:
+        P.materialize = lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or materialized(x)
+        P.pack(df, order_col="k", block=4)
+    finally:
+        P.materialize = materialized
+    (plan,) = plans
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "MapInArrow" in plan
+
+
+def test_encoding_by_task_equals_the_sent_vocabulary(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)] + ["é", "中", "\U0001f600", "a\tb"]
+    rows = [(k, [rng.choice(words) for _ in range(rng.randrange(60))]) for k in range(500)] + [(500, None), (501, [])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>").repartition(5)
+    known = {w: i for i, w in enumerate(words[::2], 1)}
+    vocab = spark.createDataFrame(list(known.items()), "word string, id long")
+    want = [(k, [known.get(w) for w in t or []]) for k, t in rows]
+    for bound in (10_000, 0):
+        out = encode(df, F.col("tokens"), vocab, sent_words=bound)
+        assert out.columns == ["k", "tokens", "ids"]
+        assert sorted((r.k, list(r.ids)) for r in out.collect()) == want
+    assert encode(df.limit(0), F.col("tokens"), vocab, sent_words=0).count() == 0
+    assert encode(df, F.col("tokens"), vocab.limit(0)).filter(F.exists("ids", lambda x: x.isNotNull())).count() == 0
