@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.text import py_strip
+from quarry.sources.records import escaped_records, marked_records
 
 # ---- A1 / A10: marker-delimited records ---------------------------------------
 
@@ -22,21 +23,12 @@ def read_delimited(spark: SparkSession, path: str, marker: str, *, strip: bool =
     """A1: records separated by ``marker`` (multi-character allowed).
 
     Of each file exactly the piece after its last marker is dropped, whatever
-    it holds; empty records between markers stay.  A file that ends with the
-    marker has an empty such piece, which the line reader does not return:
-    the bytes of pieces and markers then add up to the file's size.
-    ``strip`` removes the white space around each record (the Wikipedia reader
-    strips, PubMed does not)."""
-    pieces = spark.read.option("lineSep", marker).text(path).select(
-        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_n"))
-    # One row per file: where its last piece lies, and whether a marker ends it.
-    tails = pieces.groupBy("_file").agg(
-        F.max(F.struct("_block", "_n")).alias("_last"),
-        (F.sum(F.octet_length("value") + len(marker.encode())) != F.max("_size")).alias("_open"),
-    ).filter("_open").select("_file", F.col("_last._block").alias("_block"), F.col("_last._n").alias("_n"))
-    records = pieces.join(tails, ["_file", "_block", "_n"], "left_anti")
-    text = py_strip("value") if strip else F.col("value")
+    it holds; empty records between markers stay.  Compressed files and files
+    with a byte order mark (which is no part of a record) give the same
+    records as plain ones.  ``strip`` removes the white space around each
+    record (the Wikipedia reader strips, PubMed does not)."""
+    records = marked_records(spark, path, marker)
+    text = py_strip("record") if strip else F.col("record")
     cols = [text.alias("text")]
     if source is not None:
         cols.append(F.lit(source).alias("source"))
@@ -82,16 +74,14 @@ def _pieces(column: str, mark: str):
 def read_escaped_csv(spark: SparkSession, path: str, columns: list[str],
                      max_rows: int | None = None) -> DataFrame:
     """A4: unquoted CSV where ``\\`` escapes the delimiter, the newline and
-    itself.  The first record of each file is its header; empty records are
-    skipped.  A file is read as one value, so write such tables in part files.
-    ``max_rows`` keeps the head in file and record order; by default all
-    records are read."""
-    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_file"))
-    records = files.select("_file", F.posexplode(_pieces("value", "\n")).alias("_n", "_record"))
-    records = records.filter((F.col("_n") > 0) & (F.col("_record") != ""))
+    itself.  The first record of each file is its header; an empty record is
+    one whose only field is empty.  Splits of a file are read in parallel, a
+    record may cross them.  ``max_rows`` keeps the head in file and record
+    order; by default all records are read."""
+    records = escaped_records(spark, path)
     if max_rows is not None:
-        records = records.orderBy("_file", "_n").limit(max_rows)
-    plain = F.transform(_pieces("_record", ","), lambda c: F.regexp_replace(c, r"(?s)\\(.)", "$1"))
+        records = records.orderBy("_file", "_block", "_n").limit(max_rows)
+    plain = F.transform(_pieces("record", ","), lambda c: F.regexp_replace(c, r"(?s)\\(.)", "$1"))
     return records.select(*[F.get(plain, i).alias(c) for i, c in enumerate(columns)])
 
 

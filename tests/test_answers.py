@@ -1,6 +1,9 @@
 """Cases that the supplied tables do not hold: empty and unterminated records,
 escapes, dropped sections, markup, model caches, ingest failures, no hits."""
 
+import contextlib
+import gzip
+import random
 import os
 
 import duckdb
@@ -42,6 +45,67 @@ def test_markers_over_several_splits(spark, scratch):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@contextlib.contextmanager
+def splits_of(spark, size):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def plain_records(data: bytes, marker: str):
+    return sorted(data.decode("utf-8-sig").split(marker)[:-1])
+
+
+@pytest.mark.parametrize("marker", ["<END>", "-----------", "\n#\n", "aa", " "])
+def test_compressed_files_marks_and_splits(spark, scratch, marker):
+    rng = random.Random(4)
+    bits = ["one", "", "\n", "é\r\n", "a", "-" * 5, "x y", "#"]
+    files_of = []
+    for k, end in enumerate([marker, "tail", "", marker + "\n", marker * 2]):
+        text = marker.join("".join(rng.choices(bits, k=rng.randrange(30))) for _ in range(200)) + end
+        raw = (b"\xef\xbb\xbf" if k % 2 else b"") + text.encode()
+        files_of.append(raw)
+        for name, data in ((f"{k}.txt", raw), (f"{k}z.txt.gz", gzip.compress(raw))):
+            with open(f"{scratch}/{name}", "wb") as f:
+                f.write(data)
+    want = sorted(r for raw in files_of for r in plain_records(raw, marker) * 2)
+    for size in ("128m", "700"):
+        with splits_of(spark, size):
+            assert sorted(r.text for r in files.read_delimited(spark, scratch, marker).collect()) == want
+
+
+def test_the_last_record_of_small_files(spark, scratch):
+    text = "one<END>two<END>"
+    for name, data in (("a.txt.gz", gzip.compress(text.encode())), ("b.txt", ("\ufeff" + text).encode())):
+        with open(f"{scratch}/{name}", "wb") as f:
+            f.write(data)
+        got = sorted(r.text for r in files.read_delimited(spark, f"{scratch}/{name}", "<END>").collect())
+        assert got == ["one", "two"]
+
+
+def test_empty_fields_and_records_come_back(spark, scratch):
+    df = spark.createDataFrame([("",), (None,), ("x",)], "a string").coalesce(1)
+    files.write_escaped_csv(df, f"{scratch}/one")
+    assert sorted(r.a for r in files.read_escaped_csv(spark, f"{scratch}/one", ["a"]).collect()) == ["", "", "x"]
+
+
+def test_one_escaped_file_is_read_by_several_tasks(spark, scratch):
+    rng = random.Random(6)
+    bits = ["x", "\n", "\\", ",", "é", "\r", "word "]
+    rows = [(str(k), "".join(rng.choices(bits, k=rng.randrange(40)))) for k in range(2000)] + [("long", "\n" * 5000)]
+    files.write_escaped_csv(spark.createDataFrame(rows, "a string, b string").coalesce(1), f"{scratch}/f")
+    for size in ("128m", "3k", "50"):
+        with splits_of(spark, size):
+            back = files.read_escaped_csv(spark, f"{scratch}/f", ["a", "b"])
+            assert sorted(map(tuple, back.collect())) == sorted(rows)
+            assert (back.rdd.getNumPartitions() > 9) == (size != "128m")
+    head = files.read_escaped_csv(spark, f"{scratch}/f", ["a", "b"], max_rows=7)
+    assert [tuple(r) for r in head.collect()] == rows[:7]
+
+
 def test_long_runs_of_backslashes_before_a_delimiter(spark, scratch):
     path = f"{scratch}/runs"
     rows = [(f"{n}" + "\\" * n, "x," * 3 + "\\" * n, "\n" * n) for n in (0, 1, 99, 100, 101, 5000)] + [("", "y" * 300_000, "")]
@@ -53,7 +117,7 @@ def test_long_runs_of_backslashes_before_a_delimiter(spark, scratch):
 def test_escaped_backslash_before_a_delimiter(spark, scratch):
     path = _write(scratch, "e.csv", "a,b\nx\\\\,y\nx\\,y,z\\\\\na,b\nq\\\nr,s\n\n")
     rows = [tuple(r) for r in files.read_escaped_csv(spark, path, ["a", "b"]).collect()]
-    assert rows == [("x\\", "y"), ("x,y", "z\\"), ("a", "b"), ("q\nr", "s")]
+    assert rows == [("x\\", "y"), ("x,y", "z\\"), ("a", "b"), ("q\nr", "s"), ("", None)]
     assert files.read_escaped_csv(spark, path, ["a", "b"], max_rows=2).count() == 2
 
 
