@@ -1,11 +1,14 @@
 """HTML paragraph text (H1) as column expressions.
 
-Contract: comments, ``<script>`` and ``<style>`` blocks go first; a paragraph
-starts at ``<p`` followed by whitespace, ``>`` or ``/`` and runs to the next
-``</p`` followed by whitespace or ``>``, the next paragraph start, or the end
-(HTML-5 style implicit close, so a ``<p>`` inside an unclosed one is not read
-twice).  Tags inside are stripped, character references (all named ones that
-end in a semicolon, decimal and hexadecimal ones) are decoded in one pass, and
+Contract: a page is read as a sequence of tokens - comments (one that is not
+closed runs to the end), ``<script>`` and ``<style>`` elements with all that
+they hold, tags (a quoted attribute value may hold anything, an unfinished tag
+runs to the end) and text, in which a ``<`` that begins none of these is
+itself.  A paragraph starts at a ``<p`` tag and runs to the next ``</p`` tag,
+the next paragraph start, or the end (HTML-5 style implicit close, so a ``<p>``
+inside an unclosed one is not read twice).  Tags inside are dropped, character
+references are decoded once by the standard's rules (also those without
+semicolon, and the code points that stand for Windows characters), and
 paragraphs are joined without a separator.
 """
 
@@ -17,54 +20,74 @@ from html.entities import html5
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Blocks removed before paragraphs are read, the paragraph
-# start, the separator mark used to cut paragraphs, and the entity table.
-DROP_BLOCKS = r"(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>"
-PARA_START = r"(?i)<p([\s>/])"
-MARK = "\u0001"
-PARA_END = r"(?i)</p[\s>]"
-ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
-# References that occur in the supplied pages, for the SQL twin.
-ENTITIES = [
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&nbsp;", "\u00a0"),
-    ("&copy;", "©"),
-    ("&middot;", "·"),
-    ("&amp;", "&"),
-]
+# What follows a tag's name: values in quotes are taken whole; none of it is tried twice.
+_REST = r"""(?:[^>=]|=\s*+"[^"]*"|=\s*+'[^']*'|=)*+"""
+PARAGRAPH = rf"</?p(?:[\s/]{_REST})?+>"
+LONE = r"<(?![a-zA-Z!?/])"
+TOKENS = "(?is)" + "|".join([
+    rf"({PARAGRAPH})",
+    r"<!--.*?(?:-->|\z)",
+    *(rf"<{raw}(?:[\s/]{_REST})?+>.*?(?:</{raw}(?:[\s/][^>]*)?>|\z)" for raw in ("script", "style")),
+    rf"</?[a-z][^\s/>]*+{_REST}(?:>|\z)",
+    r"<[!?/][^>]*(?:>|\z)",
+])
+PARA_START = rf"(?is)<p(?:[\s/]{_REST})?+>"
+PARA_END = r"(?i)</p[\s/>]"
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]{0,31};?)"
+#: Names that need no semicolon have two to so many letters.
+SHORT_NAME = max(len(k) for k in html5 if not k.endswith(";"))
 
 
 def _c(col: str | Column) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-def _named() -> Column:
-    """``map<reference, text>`` of the standard's named references."""
-    names = {k: v for k, v in html5.items() if k.endswith(";")}
-    return F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in names.items()})), "map<string,string>")
+def _names(table: dict[str, str]) -> Column:
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
+def _windows() -> dict[str, str]:
+    """Code points 128 to 159, which stand for the characters of the Windows code page."""
+    return {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
 
 
 def _code_point(n: Column) -> Column:
-    """The character of a code point; U+FFFD for none, a surrogate or one out of range."""
+    """The character of a code point: U+FFFD for none, a surrogate or one out of range,
+    nothing for one that the standard calls invalid."""
     bad = n.isNull() | (n == 0) | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF)
+    nothing = (
+        n.between(1, 8) | (n == 0xB) | n.between(0xE, 0x1F) | (n == 0x7F) | n.between(0xFDD0, 0xFDEF)
+        | (n.bitwiseAND(0xFFFE) == 0xFFFE)
+    )
     point = F.when(bad, 0xFFFD).otherwise(n)
-    return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    windows = F.element_at(_names(_windows()), n.cast("string"))
+    return F.when(n.between(0x80, 0x9F), windows).when(~bad & nothing, "").otherwise(char)
 
 
 def unescape(col: Column) -> Column:
     """Decode the character references of a string in one pass; unknown names stay."""
-    named = _named()
+    named = _names(dict(html5))
+
+    def number(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"^&#[xX]?0*([0-9a-fA-F]*);?$", 1)
+        # Eight digits or more are beyond all code points.
+        known = F.when(F.length(digits) < 8, F.when(digits == "", "0").otherwise(digits))
+        return F.when(ref.rlike("^&#[xX]"), F.conv(known, 16, 10)).otherwise(known).cast("bigint")
+
+    def name(ref: Column) -> Column:
+        body = F.substring(ref, 2, 40)
+        cuts = [F.element_at(named, body)]
+        for n in range(SHORT_NAME, 1, -1):
+            # The longest beginning that is a name of its own; what follows is text.
+            value = F.when(F.length(body) >= n, F.element_at(named, F.substring(body, 1, n)))
+            cuts.append(F.concat(value, F.substring(body, n + 1, 40)))
+        return F.coalesce(*cuts, ref)
 
     def one(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+);$", 1)
-        base = F.when(ref.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
-        return F.when(F.startswith(ref, F.lit("&#")), _code_point(base)).otherwise(
-            F.coalesce(F.element_at(named, ref), ref))
+        return F.when(F.startswith(ref, F.lit("&#")), _code_point(number(ref))).otherwise(name(ref))
 
-    gaps, refs = F.split(col, ENTITY, -1), F.regexp_extract_all(col, F.lit(ENTITY), F.lit(0))
+    gaps, refs = F.split(col, REFERENCE, -1), F.regexp_extract_all(col, F.lit(REFERENCE), F.lit(0))
     texts = F.transform(refs, one)
     woven = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(texts, i), F.lit(""))))
     return F.when(F.contains(col, F.lit("&")), F.array_join(woven, "")).otherwise(col)
@@ -72,17 +95,11 @@ def unescape(col: Column) -> Column:
 
 def paragraph_list(col: str | Column) -> Column:
     """``array<string>``: the text of each paragraph, in document order."""
-    cleaned = F.regexp_replace(_c(col), DROP_BLOCKS, "")
-    marked = F.regexp_replace(cleaned, PARA_START, MARK + "$1")
-    pieces = F.split(marked, MARK, -1)
-    body = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
-
-    def one(p: Column) -> Column:
-        inner = F.regexp_replace(p, r"^[^>]*>", "")
-        inner = F.split(inner, PARA_END, 2)[0]
-        return unescape(F.regexp_replace(inner, r"<[^>]*>", ""))
-
-    return F.transform(body, one)
+    # A lone "<" is written as a reference first: no tag can arise when others are dropped.
+    bare = F.regexp_replace(F.regexp_replace(_c(col), LONE, "&lt;"), TOKENS, "$1")
+    pieces = F.split(bare, PARA_START, -1)
+    bodies = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.transform(bodies, lambda p: unescape(F.split(p, PARA_END, 2)[0]))
 
 
 def paragraph_text(col: str | Column) -> Column:
@@ -90,7 +107,23 @@ def paragraph_text(col: str | Column) -> Column:
     return F.array_join(paragraph_list(col), "")
 
 
-# DuckDB twin (same steps, RE2 syntax), used by the oracle statements.
+# Fixed values of the SQL twin, which states the contract for pages without quoted
+# ">" and with these references only: references that occur in the supplied pages.
+DROP_BLOCKS = r"(?is)<!--.*?-->|<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>"
+SIMPLE_START = r"(?i)<p([\s>/])"
+MARK = "\u0001"
+ENTITIES = [
+    ("&lt;", "<"),
+    ("&gt;", ">"),
+    ("&quot;", '"'),
+    ("&#39;", "'"),
+    ("&nbsp;", "\u00a0"),
+    ("&copy;", "©"),
+    ("&middot;", "·"),
+    ("&amp;", "&"),
+]
+
+
 def sql_paragraph_text(col: str) -> str:
     inner = (
         "regexp_replace(string_split_regex(regexp_replace(p, '^[^>]*>', ''), '(?i)</p[\\s>]')[1], "
@@ -101,7 +134,7 @@ def sql_paragraph_text(col: str) -> str:
         inner = f"replace({inner}, '{ent}', '{q}')"
     marked = (
         f"regexp_replace(regexp_replace({col}, '{DROP_BLOCKS}', '', 'g'), "
-        f"'{PARA_START}', '{MARK}\\1', 'g')"
+        f"'{SIMPLE_START}', '{MARK}\\1', 'g')"
     )
     return (
         f"array_to_string(list_transform((string_split({marked}, '{MARK}'))[2:], "

@@ -1,5 +1,7 @@
 """Hand-worked cases for the string functions and reference quirks."""
 
+from html.parser import HTMLParser
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +95,56 @@ def test_page_text_drops_sections_and_orders(spark):
             ("P", 3, "REFERENCES", "r")]
     df = spark.createDataFrame(rows, "title string, sec_no int, sec_title string, text string")
     assert agg.page_text(df).first().text == "a\nb\n"
+
+
+class PlainParagraphs(HTMLParser):
+    """Paragraph texts by the standard library's parser, with implicit close."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.out = False, []
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = True if tag == "p" else self.inside
+
+    def handle_startendtag(self, tag, attrs):
+        # As browsers do: the slash of "<p/>" means nothing.
+        self.handle_starttag(tag, attrs)
+
+    def handle_endtag(self, tag):
+        self.inside = False if tag == "p" else self.inside
+
+    def handle_data(self, data):
+        # The parser hands over what scripts and styles hold as data, too.
+        if self.inside and self.cdata_elem is None:
+            self.out.append(data)
+
+
+def plain_paragraphs(page):
+    parser = PlainParagraphs()
+    parser.feed(page)
+    parser.close()
+    return "".join(parser.out)
+
+
+HARD_PAGES = [
+    '<p title="a>b">hi</p>', "<p>x<a href=\"u?p>q\">link</a> z</p>", "<p>&#146;&#8217;&#x80;</p>", "<p>caf&eacute x &amp y &ampz</p>",
+    "<p>u\x01v</p>", "<p>a < b > c <3 <</p>", "<p>it's</p><p class='x\"y>z'>k</p>", "<P>Big</P><pre>no</pre><p/>self</p>",
+    "<p>one<p>two<b>three</p>four", "<p>&notit; &notin; &amp;amp; &AMP &bogus; &; & &#; &#x;</p>", "<p>&#0;&#xD800;&#1114112;&#99999999999999999999;</p>",
+    "<p>a<!-- </p> -->b</p>", "<script>'<p>no</p>'</script><p>yes</p>", "<style>p{}</style><p>y</p>", "<p>x</p\n><p\n>y", "no paragraph", "",
+    "<p>&frac12;&frac14&sup2x&copy2024</p>", "<param><p>p</p><progress>q</progress>", "<p a=1 b=2>c</p>", "<p>t&#x1F600;&#128512</p>",
+    "<p><?php x ?>y<!DOCTYPE z>w</p>", "<p>\n line\r\nend &nbsp;</p>", "<p>&#11;&#127;&#x1;&#xFFFE;ok</p>",
+]
+
+
+def test_paragraphs_equal_an_independent_parser(spark):
+    df = spark.createDataFrame(list(enumerate(HARD_PAGES)), "k int, page string")
+    got = {r.k: r.t for r in df.select("k", html.paragraph_text("page").alias("t")).collect()}
+    assert got == {k: plain_paragraphs(page) for k, page in enumerate(HARD_PAGES)}
+
+
+def test_unfinished_markup_runs_to_the_end(spark):
+    pages = ["<p>a<!-- x <p>b", "<p>a<script>x</p><p>b", "<p>a <b title='x", "<p>a <b", "<p"]
+    df = spark.createDataFrame(list(enumerate(pages)), "k int, page string")
+    got = [r.t for r in df.orderBy("k").select(html.paragraph_text("page").alias("t")).collect()]
+    assert got == ["a", "a", "a ", "a ", ""]
