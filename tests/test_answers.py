@@ -134,7 +134,7 @@ def test_a_page_without_kept_sections_is_empty(spark):
         ("<p>a <pre>b</pre> c</p>d", "a b c"),
         ("<p>a <picture>b</picture> c</p >d<p>e", "a b ce"),
         ("<p>&#8217; &hellip; &eacute; &#x27; &amp;lt; &nosuch; &#0; &#xD800; &amp &copy;</p>",
-         "’ … é ' &lt; &nosuch; � � &amp ©"),
+         "’ … é ' &lt; &nosuch; � � & ©"),
         ("<p>&NotEqualTilde;&#128512;&CounterClockwiseContourIntegral;</p>", "≂̸\U0001F600∳"),
     ],
 )
