@@ -25,11 +25,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import whitespace_tokens
-from quarry.operators.dictionary import encode, pieces
+from quarry.operators.dictionary import encode, pieces, word_counts
 from quarry.operators.hooks import cached_model, model_digest
 from quarry.operators.ordinal import with_ordinal
-from quarry.session import materialize
 
 PAD_ID = 0
 IGNORE_INDEX = -100
@@ -37,8 +35,7 @@ IGNORE_INDEX = -100
 
 def build_vocab(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """``(word, id)`` ranked by frequency desc, then word."""
-    words = texts.select(F.explode(whitespace_tokens(F.col(text_col))).alias("word"))
-    freq = words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    freq = word_counts(texts, text_col)
     ranked = with_ordinal(freq, [F.desc("freq"), F.asc("word")], name="rank")
     return ranked.select("word", (F.col("rank") + 1).alias("id"))
 
@@ -61,8 +58,7 @@ def tokenize(
     if tokenizer is not None:
         ided = _user_ids(docs.select(*key_cols, text.alias("_text")), key_cols, tokenizer, out)
     else:
-        keyed = docs.select(*key_cols, whitespace_tokens(text).alias("_words"))
-        ided = encode(keyed, F.col("_words"), vocab, out).select(*key_cols, out)
+        ided = encode(docs.select(*key_cols, text.alias("_text")), F.col("_text"), vocab, out).select(*key_cols, out)
     return ided.withColumn(mask, F.transform(out, lambda x: F.lit(1))) if mask else ided
 
 
@@ -130,7 +126,6 @@ def pack(
         return F.flatten(F.transform(parts, lambda x: x["frag"])).alias(col)
 
     # Whole blocks have no start; the others are pieces of blocks across partitions.
-    cuts = materialize(cuts)
     keys = ["shard", "batch", "block"]
     whole = cuts.filter("start IS NULL").select(*keys, *arrays)
     mended = cuts.filter("start IS NOT NULL").groupBy(*keys).agg(*[joined(c) for c in arrays])

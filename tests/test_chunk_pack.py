@@ -182,14 +182,7 @@ def test_pack_of_no_rows_and_null_lists(spark):
 
 def test_packing_joins_no_arrays_by_key(spark):
     df = spark.createDataFrame([(k, [k] * 9) for k in range(50)], "k long, ids array<bigint>")
-    plans = []
-    materialized = P.materialize
-    try:
-        P.materialize = lambda x: plans.append(x._jdf.queryExecution().executedPlan().toString()) or materialized(x)
-        P.pack(df, order_col="k", block=4)
-    finally:
-        P.materialize = materialized
-    (plan,) = plans
+    plan = P.pack(df, order_col="k", block=4)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "MapInArrow" in plan
 
 
@@ -206,4 +199,8 @@ def test_encoding_by_task_equals_the_sent_vocabulary(spark):
         assert out.columns == ["k", "tokens", "ids"]
         assert sorted((r.k, list(r.ids)) for r in out.collect()) == want
     assert encode(df.limit(0), F.col("tokens"), vocab, sent_words=0).count() == 0
+    texts = df.select("k", F.array_join("tokens", " ").alias("text"))
+    for bound in (10_000, 0):
+        got = {r.k: list(r.ids) for r in encode(texts, F.col("text"), vocab, sent_words=bound).collect()}
+        assert got == {k: [known.get(w) for w in " ".join(t or []).split()] for k, t in rows}
     assert encode(df, F.col("tokens"), vocab.limit(0)).filter(F.exists("ids", lambda x: x.isNotNull())).count() == 0
