@@ -8,10 +8,11 @@ import pytest
 from conftest import SF_SMALL
 from helpers import ODD, empty_table, odd_table, rows_of
 from pyspark.sql import functions as F
-from quarry.llm import sharding
+from quarry.llm import mixing, sharding
 from quarry.llm.mixing import mix, mixed_documents, source_targets
 from quarry.llm.registry import ORACLE, QUERIES
 from quarry.llm.sharding import arc_of_points, capacities, place, ring, shard_by_ring
+from quarry.session import materialize
 
 
 def test_ring_growth_takes_points_only_into_the_new_shard():
@@ -174,6 +175,52 @@ def check_mix(rows, docs):
         assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1e-6, s
 
 
+def test_samples_have_a_fixed_size_and_their_probabilities(spark):
+    """Over many seeds documents are taken as often as their own probabilities say."""
+    rng = random.Random(8)
+    sizes = [rng.randrange(100, 160) for _ in range(60)] + [rng.randrange(400, 900) for _ in range(30)] + [7, 0, 0]
+    rows = [(str(k), "s", n) for k, n in enumerate(sizes)] + [(f"t{k}", "t", 100 + k) for k in range(40)]
+    df = mixing._classed(spark.createDataFrame(rows, "_key string, _source string, _size long"))
+    plan = spark.createDataFrame([("s", 0.37), ("t", 0.5)], "_source string, _fraction double")
+    classes = df.groupBy("_source", "_class").agg(
+        F.count(F.lit(1)).alias("_rows"), F.sum("_size").alias("_words"), F.max("_size").alias("_largest"))
+    drawn = materialize(mixing.sample_sizes(classes, plan))
+    by_class = defaultdict(lambda: [0, 0.0, 0])
+    known = {r._key: r for r in mixing._with_class(df, drawn).withColumn("_p", mixing.probability()).collect()}
+    for r in known.values():
+        held = by_class[r._source, r._class]
+        held[0], held[1], held[2] = r._n, held[1] + r._p, held[2] + 1
+        assert 0 <= r._p <= 1 + 1e-9
+    for n, total, rows_in in by_class.values():
+        assert total == pytest.approx(n) and n <= rows_in
+    assert any(len({round(r._p, 6) for r in known.values() if (r._source, r._class) == c}) > 3 for c in by_class)
+    wanted = {"s": 0.37 * sum(sizes), "t": 0.5 * sum(100 + k for k in range(40))}
+    expected = Counter()
+    for r in known.values():
+        expected[r._source] += r._p * r._size
+    assert all(abs(expected[s] - wanted[s]) < 0.03 * wanted[s] for s in wanted)
+    # The samples themselves: every seed is one more group of the same classes.
+    seeds = 400
+    many = df.crossJoin(spark.range(seeds)).withColumns({
+        "_source": F.concat("_source", F.lit("/"), F.col("id").cast("string")),
+        "_key": F.concat("_key", F.lit("/"), F.col("id").cast("string"))}).drop("id")
+    table = drawn.crossJoin(spark.range(seeds)).withColumn(
+        "_source", F.concat("_source", F.lit("/"), F.col("id").cast("string"))).drop("id")
+    table = materialize(table)
+    ranks = mixing.ranked(many, table, "x")
+    ends = mixing._beside(table, mixing._ends(ranks.filter("_q IS NOT NULL")))
+    taken = mixing.ranked(many, ends, "x").filter(mixing._in_sample()).select("_source", "_class", "_key").collect()
+    times, sampled = Counter(), Counter()
+    for r in taken:
+        times[r._key.split("/")[0]] += 1
+        sampled[r._source, r._class] += 1
+    for (source, number), n in sampled.items():
+        assert n == by_class[source.split("/")[0], number][0]
+    for key, r in known.items():
+        p = min(max(r._p, 0), 1)
+        assert abs(times[key] / seeds - p) <= 5 * (p * (1 - p) / seeds) ** 0.5 + 0.01, (key, p, times[key])
+
+
 def test_odd_rows_in_the_mix(spark):
     df = odd_table(spark).filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
     docs = {r[0]: (r[1], r[3]) for r in ODD if r[0] is not None}
