@@ -1,15 +1,19 @@
 """Operator 6: harmonic packing of token sequences.
 
-Lengths fall into reciprocal-capacity classes: a bin of class ``k`` holds
-exactly ``k`` pieces of ``capacity / k`` tokens.  Documents may be cut, so each
-is cut into pieces of exactly such sizes: first whole capacities (class 1),
-then what is left by its binary digits (classes 2, 4, 8, ...).  Bins are then
-full without looking at any other document: the ``r``-th piece of class ``k``
-lies in the class's bin ``r // k``.  Workers number their own pieces; only one
-count per task and class is exchanged to make those numbers global.  At the
-end each class has fewer than ``k`` pieces over; laid from the largest size to
-the smallest they fill shared sequences without gaps, so the whole table has
-one sequence at most that is not full.
+Lengths fall into reciprocal-capacity classes: class ``k`` has the lengths in
+``(capacity / (k + 1), capacity / k]``, and each of its bins holds exactly ``k``
+of them.  A document longer than the capacity gives whole sequences first; what
+is left, or a shorter document, goes to its class uncut.  Workers number their
+own pieces; one count per task and class makes those numbers global, and the
+``r``-th piece of class ``k`` lies in the class's bin ``r // k``.
+
+A bin of whole pieces has a gap, at most a ``k + 1``-th of the capacity for
+full ones.  A share of the documents, drawn at random and no larger than the
+gaps need, goes to no class but is cut to fill them: gaps and fillers are laid
+end to end on one line of tokens, and each overlap is a piece.  Fillers beyond
+the last gap fill sequences of their own, so only the last sequence is not
+full - unless half of the documents is less than all gaps, as in tiny tables,
+whose last bins stay padded.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -72,47 +77,163 @@ def encoder(path: str, ranks_path: str | None = None, pattern: str | None = None
     return Encoder(path, ranks_path, pattern)
 
 
-def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
-    """Sizes of the pieces of ``n`` tokens, largest first; each divides ``capacity``."""
+#: Documents are drawn into so many levels; the first half of them may become fillers.
+LEVELS, FILLING = 32, 16
+#: Tokens of the line of gaps that are filled together.
+CELL = 16_384
+#: Class of whole sequences, and mark of rows that hold a possible filler.
+WHOLE, FILLER = 0, -1
+
+
+def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int, int]]:
+    """Pieces ``(start, length, class)`` of a document of ``n`` tokens that is no filler."""
     whole, rest = divmod(n, capacity)
-    sizes, size = [capacity] * whole, capacity // 2
-    while size:
-        if rest >= size:
-            sizes.append(size)
-            rest -= size
-        size //= 2
-    return sizes
+    out = [(k * capacity, capacity, WHOLE) for k in range(whole)]
+    return out + ([(whole * capacity, rest, capacity // rest)] if rest else [])
+
+
+def level_of(task: int, row: int) -> int:
+    return xxhash.xxh64_intdigest(f"{task}:{row}") % LEVELS
+
+
+COLUMNS = "start long, length long, ids_crc32 long, doc_tokens long, _task long, _sub long, _class long, _rank long, ids binary"
 
 
 def _pieces(id_col: str, id_type: pa.DataType, capacity: int, vocabulary: tuple, with_ids: bool):
+    """Pieces of all documents as if none were a filler, ranked by class and level, and
+    the possible fillers whole, with the tokens of their level before them as rank."""
+    names = [id_col, *(c.split()[0] for c in COLUMNS.split(", "))]
+
     def run(batches):
-        task, numbered = TaskContext.get().partitionId(), {}
+        task, numbered, row = TaskContext.get().partitionId(), {}, 0
         ids_of = encoder(*vocabulary).ids
         for batch in batches:
             for part in slices(batch, 512):
                 keys, rows = [], []
+
+                def add(key, start, size, crc, total, sub, kind, bits, keys=keys, rows=rows):
+                    rank = numbered.get((kind, sub), 0)
+                    numbered[kind, sub] = rank + (size if kind == FILLER else 1)
+                    rows.append((start, size, crc, total, task, sub, kind, rank, bits))
+                    keys.append(key)
+
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     ids = np.append(ids_of(text), END_ID).astype("<u4")
-                    raw, at = ids.tobytes(), 0
-                    for size in cuts(len(ids), capacity):
-                        rank = numbered.get(size, 0)
-                        numbered[size] = rank + 1
-                        bits = raw[4 * at : 4 * (at + size)]
-                        rows.append((at, size, zlib.crc32(bits), len(ids), task, rank, bits if with_ids else None))
-                        keys.append(key)
-                        at += size
-                cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
-                arrays = [pa.array(keys, id_type)]
-                arrays += [pa.array(c, pa.int64()) for c in cols[:6]]
-                names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "_task", "_rank"]
-                if with_ids:
-                    arrays.append(pa.array(cols[6], pa.binary()))
-                    names.append("ids")
+                    raw, total = ids.tobytes(), len(ids)
+                    sub = min(level_of(task, row), FILLING)
+                    row += 1
+                    for start, size, kind in cuts(total, capacity):
+                        bits = raw[4 * start : 4 * (start + size)]
+                        add(key, start, size, zlib.crc32(bits), total, sub, kind, bits if with_ids else None)
+                    if sub < FILLING:
+                        add(key, 0, total, 0, total, sub, FILLER, raw)
+                cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+                arrays = [pa.array(keys, id_type), *(pa.array(c, pa.int64()) for c in cols[:8]), pa.array(cols[8], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return run
 
 
+def filling_levels(sizes: dict[tuple[int, int], tuple[int, int]], capacity: int) -> int:
+    """How many levels must fill, from counts and tokens by (level, class): the fewest
+    whose documents are no less than the gaps of the others."""
+    for levels in range(FILLING + 1):
+        filling = sum(tokens for (sub, kind), (_, tokens) in sizes.items() if kind == FILLER and sub < levels)
+        if filling >= sum(gaps_of(totals_of(sizes, levels), capacity).values()):
+            return levels
+    return FILLING
+
+
+def totals_of(sizes: dict[tuple[int, int], tuple[int, int]], levels: int) -> dict[int, tuple[int, int]]:
+    """Counts and tokens by class of the documents that are no fillers."""
+    out: dict[int, tuple[int, int]] = {}
+    for (sub, kind), (n, tokens) in sizes.items():
+        if kind != FILLER and sub >= levels:
+            before = out.get(kind, (0, 0))
+            out[kind] = before[0] + n, before[1] + tokens
+    return out
+
+
+def gaps_of(totals: dict[int, tuple[int, int]], capacity: int) -> dict[int, int]:
+    return {k: -(-n // max(k, 1)) * capacity - tokens for k, (n, tokens) in totals.items()}
+
+
+def _running(column: int, names: list[str]):
+    """Rows with the sum of a column over the task's rows before, and the task."""
+
+    def run(batches):
+        task, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            values = batch.column(column).to_numpy(zero_copy_only=False)
+            sums = before + np.cumsum(values) - values
+            before += int(values.sum())
+            extra = [pa.array(sums, pa.int64()), pa.array([task] * batch.num_rows, pa.int64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=names)
+
+    return run
+
+
+def _placed_gaps(bins: DataFrame, capacity: int) -> DataFrame:
+    """``sequence_id, _at, _gap, _line``: the free ends of the bins, and where on the line each begins."""
+    gaps = bins.groupBy("sequence_id").agg(F.sum("length").alias("_at"))
+    gaps = gaps.select("sequence_id", "_at", (F.lit(capacity) - F.col("_at")).alias("_gap")).filter("_gap > 0")
+    names = ["sequence_id", "_at", "_gap", "_line", "_pid"]
+    laid = materialize(
+        gaps.repartitionByRange("sequence_id").sortWithinPartitions("sequence_id")
+        .mapInArrow(_running(2, names), ", ".join(f"{n} long" for n in names))
+    )
+    # One row per partition.
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = laid.groupBy("_pid").agg(F.sum("_gap").alias("_n")).select(
+        "_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    return laid.join(F.broadcast(firsts), "_pid").select(
+        "sequence_id", "_at", "_gap", (F.col("_line") + F.col("_first")).alias("_line"))
+
+
+def _fill(fillers: DataFrame, gaps: DataFrame, id_col: str, total_gap: int, sequences: int, capacity: int) -> DataFrame:
+    """Pieces of the fillers: overlaps with the gaps, and beyond them whole sequences.
+
+    ``fillers`` have ``_own`` (their place on the line), ``doc_tokens`` and ``ids``."""
+    end = F.col("_own") + F.col("doc_tokens")
+
+    def cells(begin: Column, after: Column) -> Column:
+        return F.explode(F.sequence(F.floor(begin / CELL), F.floor((after - 1) / CELL))).alias("_cell")
+
+    upto = F.least(end, F.lit(total_gap))
+    inside = fillers.filter(F.col("_own") < total_gap).select(id_col, "doc_tokens", "_own", "ids", upto.alias("_until"), cells(F.col("_own"), upto))
+    low, high = F.greatest("_own", F.col("_cell") * CELL), F.least("_until", (F.col("_cell") + 1) * CELL)
+    inside = inside.select(
+        id_col, "doc_tokens", "_own", "_cell", low.alias("_blob"), high.alias("_until"),
+        F.expr(f"substring(ids, CAST(4 * (greatest(_own, _cell * {CELL}) - _own) + 1 AS INT),"
+               f" CAST(4 * (least(_until, (_cell + 1) * {CELL}) - greatest(_own, _cell * {CELL})) AS INT))").alias("ids"),
+    )
+    open_gaps = gaps.select("*", cells(F.col("_line"), F.col("_line") + F.col("_gap")))
+    met = inside.join(open_gaps, "_cell").select(
+        "*", F.greatest("_line", "_blob").alias("_low"), F.least(F.col("_line") + F.col("_gap"), "_until").alias("_high")
+    ).filter("_low < _high")
+    filled = met.select(
+        *_piece(id_col), "sequence_id", (F.col("_at") + F.col("_low") - F.col("_line")).alias("offset"))
+
+    beyond = fillers.filter(end > total_gap).select(
+        id_col, "doc_tokens", "_own", "ids", F.col("_own").alias("_blob"), F.greatest("_own", F.lit(total_gap)).alias("_begin"), end.alias("_until"))
+    over = beyond.select("*", F.explode(F.sequence(
+        F.floor((F.col("_begin") - total_gap) / capacity), F.floor((F.col("_until") - 1 - total_gap) / capacity))).alias("_block"))
+    first = F.lit(total_gap) + F.col("_block") * capacity
+    over = over.select("*", F.greatest("_begin", first).alias("_low"), F.least("_until", first + capacity).alias("_high"))
+    more = over.select(
+        *_piece(id_col), (F.col("_block") + sequences).alias("sequence_id"), (F.col("_low") - first).alias("offset"))
+    return filled.unionByName(more)
+
+
+def _piece(id_col: str) -> list:
+    """A filler's tokens from ``_low`` to ``_high`` on the line; its ``ids`` begin at ``_blob``."""
+    bits = F.expr("substring(ids, CAST(4 * (_low - _blob) + 1 AS INT), CAST(4 * (_high - _low) AS INT))")
+    return [
+        id_col, (F.col("_low") - F.col("_own")).alias("start"), (F.col("_high") - F.col("_low")).alias("length"),
+        F.crc32(bits).alias("ids_crc32"), "doc_tokens", bits.alias("ids"),
+    ]
+
+
 def pack(
     docs: DataFrame,
     vocabulary: tuple,
@@ -133,51 +254,52 @@ def pack(
     if capacity & (capacity - 1) or capacity < 1:
         raise ValueError("capacity must be a power of two")
     kind = docs.schema[id_col].dataType
-    schema = f"{id_col} {kind.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, _task long, _rank long"
-    run = _pieces(id_col, to_arrow_type(kind), capacity, vocabulary, with_ids)
-    rows = docs.select(F.col(id_col).alias(id_col), text_of(text_col).alias("_text"))
+    run = _pieces("_id", to_arrow_type(kind), capacity, vocabulary, with_ids)
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
     # Tokenized once: the counts below and the result read the pieces again.
-    pieces = materialize(rows.mapInArrow(run, schema + (", ids binary" if with_ids else "")))
-
-    counts = pieces.groupBy("_task", "length").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = counts.select(
-        "_task", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first")
-    )
-    totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-
-    # One entry per class (a power of two up to the capacity): the first bin, the rank from
-    # which pieces are over, and where in the shared sequences those lie.
-    first_bin, over_at, place = {}, {}, {}
-    bins = shared = 0
-    for size in sorted(totals, reverse=True):
-        per_bin = capacity // size
-        full, over = divmod(totals[size], per_bin)
-        first_bin[size], over_at[size], place[size] = bins, full * per_bin, shared
-        bins += full
-        shared += over * size
-
-    def by_size(values: dict):
-        out = F.lit(0).cast("long")
-        for size, v in values.items():
-            out = F.when(F.col("length") == size, F.lit(v).cast("long")).otherwise(out)
-        return out
-
-    rank = F.col("_rank") + F.col("_first")
-    ranked = pieces.join(firsts, ["_task", "length"]).withColumn("_r", rank).withColumns(
-        {"_bin": by_size(first_bin), "_over": by_size(over_at), "_place": by_size(place)}
-    )
-    per_bin = F.expr(f"{capacity} div length")
-    laid = F.col("_place") + (F.col("_r") - F.col("_over")) * F.col("length")
-    in_bin = F.col("_r") < F.col("_over")
-    return ranked.select(
-        id_col, "start", "length", "ids_crc32", "doc_tokens",
-        F.when(in_bin, F.col("_bin") + F.expr(f"_r div ({capacity} div length)"))
-        .otherwise(F.lit(bins) + F.shiftright(laid, capacity.bit_length() - 1)).cast("long").alias("sequence_id"),
-        F.when(in_bin, F.pmod(F.col("_r"), per_bin) * F.col("length"))
-        .otherwise(F.pmod(laid, F.lit(capacity))).cast("long").alias("offset"),
-        *(["ids"] if with_ids else []),
-    )
+    pieces = materialize(rows.mapInArrow(run, f"_id {kind.simpleString()}, {COLUMNS}"))
+
+    counts = materialize(pieces.groupBy("_task", "_sub", "_class").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("length").alias("_tokens")))
+    by_class = counts.groupBy("_sub", "_class").agg(F.sum("_n").alias("n"), F.sum("_tokens").alias("tokens"))
+    sizes = {(r["_sub"], r["_class"]): (r["n"], r["tokens"]) for r in by_class.collect()}  # a row per class and level
+    levels = filling_levels(sizes, capacity)
+    totals = totals_of(sizes, levels)
+    total_gap = sum(gaps_of(totals, capacity).values())
+    first_bin, sequences = {}, 0
+    for k in sorted(totals):
+        first_bin[k] = sequences
+        sequences += -(-totals[k][0] // max(k, 1))
+
+    spark = docs.sparkSession
+    bases = spark.createDataFrame(list(first_bin.items()), "_class long, _bin long")
+    before = Window.partitionBy("_class").orderBy("_task", "_sub").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.filter((F.col("_class") != FILLER) & (F.col("_sub") >= levels)).select(
+        "_task", "_sub", "_class", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    placed = pieces.join(firsts.join(F.broadcast(bases), "_class"), ["_task", "_sub", "_class"]).withColumn(
+        "_r", F.col("_rank") + F.col("_first"))
+    placed = placed.withColumn("sequence_id", F.col("_bin") + F.expr("_r div greatest(_class, 1)"))
+    out = ["_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "sequence_id", "offset"]
+    whole = placed.filter(F.col("_class") == WHOLE).withColumn("offset", F.lit(0).cast("long")).select(*out)
+    bins = placed.filter(F.col("_class") != WHOLE)
+    in_bin = Window.partitionBy("sequence_id").orderBy("_r").rowsBetween(Window.unboundedPreceding, 0)
+    shared = bins.withColumn("offset", F.sum("length").over(in_bin) - F.col("length")).select(*out)
+    result = whole.unionByName(shared)
+    if levels:
+        line, at = {}, 0
+        for sub in range(levels):
+            line[sub] = at
+            at += sizes.get((sub, FILLER), (0, 0))[1]
+        starts = spark.createDataFrame(list(line.items()), "_sub long, _line long")
+        of_level = Window.partitionBy("_sub").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+        own = counts.filter((F.col("_class") == FILLER) & (F.col("_sub") < levels)).select(
+            "_task", "_sub", F.coalesce(F.sum("_tokens").over(of_level), F.lit(0)).alias("_first"))
+        fillers = pieces.filter((F.col("_class") == FILLER) & (F.col("_sub") < levels)).join(
+            own.join(F.broadcast(starts), "_sub"), ["_task", "_sub"])
+        fillers = fillers.select("_id", "doc_tokens", "ids", (F.col("_line") + F.col("_first") + F.col("_rank")).alias("_own"))
+        gaps = _placed_gaps(bins, capacity)
+        result = result.unionByName(_fill(fillers, gaps, "_id", total_gap, sequences, capacity).select(*out))
+    return result.select(F.col("_id").alias(id_col), *(c for c in out[1:] if c != "ids" or with_ids))
 
 
 def public_vocabulary() -> tuple:
