@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from quarry.operators.agg import epoch_loss
 from quarry.plans import fixtures as fx
 from quarry.plans.dialog import thread_prepare
 from quarry.plans.registry import ORACLE, query
-from quarry.session import checkpoint_dir
+from quarry.session import scratch_folder
 from quarry.sources.tables import table
 from quarry.streaming import ingest
 
@@ -33,16 +31,12 @@ def loss_perplexity(spark: SparkSession, d: str) -> DataFrame:
                       F.round("perplexity", 6).alias("perplexity"))
 
 
-def _scratch(spark: SparkSession, tag: str) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 @query("stream_twin")
 def stream_twin(spark: SparkSession, d: str) -> DataFrame:
     """A8 + M1: thread records landed as JSON files (several per trigger
     window) and run through the streaming form of the thread transform; the
     result must equal the batch query ``thread_prepare``."""
-    base = _scratch(spark, "threads")
+    base = scratch_folder(spark, "threads")
     fx.threads(spark, d).repartition(4).write.json(f"{base}/landing")
     stream = ingest.thread_stream(spark, f"{base}/landing", max_files_per_trigger=1)
     ingest.stream_to_parquet(stream, sink=f"{base}/sink", checkpoint=f"{base}/ckpt")
@@ -61,7 +55,7 @@ def resume_ingest(spark: SparkSession, d: str) -> DataFrame:
     """M2: documents land in two waves, the second re-delivering part of the
     first; the ingest is run, re-run, and run again after the second wave.
     The sink must hold every document exactly once."""
-    base = _scratch(spark, "ingest")
+    base = scratch_folder(spark, "ingest")
     docs = table(spark, d, "documents").select("doc_id", "source", "text")
     wave = F.col("doc_id") % 2
     docs.filter(wave == 0).repartition(2).write.mode("append").parquet(f"{base}/landing")

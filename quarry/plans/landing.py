@@ -5,23 +5,16 @@ line ends that the format has to carry."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.layout import spread
 from quarry.plans.registry import query
-from quarry.session import checkpoint_dir
+from quarry.session import scratch_folder
 from quarry.sources import files
 from quarry.sources.tables import table
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder under the shared one."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-
-
 def _odd_text() -> Column:
     """The text, with characters that file formats give a meaning to."""
     tail = F.lit(' , "q" \\ \\, \\\\ "" \n,end\\')
@@ -50,7 +43,7 @@ SELECT md5(record) AS record_md5, CAST(count(*) AS BIGINT) AS n FROM r GROUP BY
 )
 def file_delimited(spark: SparkSession, d: str) -> DataFrame:
     """A10 + A1: records with line ends, some of them empty, between markers."""
-    path = scratch(spark, "delimited")
+    path = scratch_folder(spark, "delimited")
     record = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), "text"))
     files.write_delimited(_docs(spark, d).select(record.alias("text")), path, MARKER)
@@ -64,7 +57,7 @@ def file_delimited(spark: SparkSession, d: str) -> DataFrame:
 )
 def file_lines(spark: SparkSession, d: str) -> DataFrame:
     """A11 + A2: one record per line."""
-    path = scratch(spark, "lines")
+    path = scratch_folder(spark, "lines")
     line = F.concat(F.col("doc_id").cast("string"), F.lit(" "), F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
     files.write_lines(spread(table(spark, d, "documents")).select(line.alias("line")), path, "line")
     return files.read_lines(spark, path).select(F.md5("line").alias("line_md5"))
@@ -73,7 +66,7 @@ def file_lines(spark: SparkSession, d: str) -> DataFrame:
 @query("file_csv", f"WITH {SQL_ODD} SELECT doc_id, lang, md5(text) AS text_md5 FROM odd")
 def file_csv(spark: SparkSession, d: str) -> DataFrame:
     """A12 + A3: quoted CSV whose fields hold line ends, quotes and commas."""
-    path = scratch(spark, "csv")
+    path = scratch_folder(spark, "csv")
     files.write_csv(_docs(spark, d), path)
     back = files.read_csv_multiline(spark, path, "doc_id long, lang string, text string")
     return back.select("doc_id", "lang", F.md5("text").alias("text_md5"))
@@ -82,7 +75,7 @@ def file_csv(spark: SparkSession, d: str) -> DataFrame:
 @query("file_escaped_csv", f"WITH {SQL_ODD} SELECT doc_id, lang, md5(text) AS text_md5 FROM odd")
 def file_escaped_csv(spark: SparkSession, d: str) -> DataFrame:
     """A12 + A4: the same rows without quotes, escaped by backslashes."""
-    path = scratch(spark, "escaped")
+    path = scratch_folder(spark, "escaped")
     files.write_escaped_csv(_docs(spark, d), path)
     back = files.read_escaped_csv(spark, path, ["doc_id", "lang", "text"])
     return back.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.md5("text").alias("text_md5"))
@@ -91,7 +84,7 @@ def file_escaped_csv(spark: SparkSession, d: str) -> DataFrame:
 @query("file_append", "SELECT doc_id, source, n_chars FROM documents")
 def file_append(spark: SparkSession, d: str) -> DataFrame:
     """A table made by its first write and appended to, columns in another order."""
-    path = scratch(spark, "append")
+    path = scratch_folder(spark, "append")
     docs = table(spark, d, "documents")
     files.append_table(docs.filter("doc_id % 2 = 0").select("doc_id", "source", "n_chars"), path)
     files.append_table(docs.filter("doc_id % 2 != 0").select("n_chars", "doc_id", "source"), path)
@@ -106,7 +99,7 @@ FROM conversations""",
 )
 def file_transcripts(spark: SparkSession, d: str) -> DataFrame:
     """A5: JSON files of up to 50 conversations each, one row per segment back."""
-    path = scratch(spark, "transcripts")
+    path = scratch_folder(spark, "transcripts")
     conv = table(spark, d, "conversations")
     turns = conv.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).select(
         F.expr("conv_id div 50").alias("file"), F.col("conv_id").cast("string").alias("video"),
@@ -125,7 +118,7 @@ SELECT run, CAST(pos AS INTEGER) AS pos, md5(text) AS answer_md5 FROM a""",
 )
 def file_answers(spark: SparkSession, d: str) -> DataFrame:
     """A JSON map of runs, each run's answers one string with end markers."""
-    path = scratch(spark, "answers")
+    path = scratch_folder(spark, "answers")
     run = F.concat(F.lit("run"), F.expr("conv_id div 20").cast("string"))
     runs = table(spark, d, "conversations").groupBy(run.alias("run")).agg(
         F.sort_array(F.collect_list(F.struct("conv_id", "turn", "text"))).alias("t"))
@@ -143,7 +136,7 @@ WHERE lang = 'en' AND doc_id % 3 = 1""",
 )
 def file_runs(spark: SparkSession, d: str) -> DataFrame:
     """Answers laid out by run; one run read back through its partitions."""
-    path = scratch(spark, "runs")
+    path = scratch_folder(spark, "runs")
     rows = table(spark, d, "documents").filter("lang IS NOT NULL").select(
         F.col("lang").alias("dataset"), F.lit(False).alias("formatted"),
         F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("rank"),
@@ -156,7 +149,7 @@ def file_runs(spark: SparkSession, d: str) -> DataFrame:
 @query("file_jsonl", f"WITH {SQL_ODD} SELECT doc_id, lang, md5(text) AS text_md5 FROM odd")
 def file_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """One JSON object per line, whatever the text holds."""
-    path = scratch(spark, "jsonl")
+    path = scratch_folder(spark, "jsonl")
     files.write_jsonl(_docs(spark, d), path)
     back = files.read_nested(spark, path, "doc_id long, lang string, text string")
     return back.select("doc_id", "lang", F.md5("text").alias("text_md5"))
@@ -172,7 +165,7 @@ SELECT title, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT conv_id) AS BIG
 def nested_titles(spark: SparkSession, d: str) -> DataFrame:
     """A7 + B1 + I1: nested question records written as JSON, of which only the
     titles of the contexts are projected, one row per occurrence."""
-    path = scratch(spark, "nested")
+    path = scratch_folder(spark, "nested")
     q = table(spark, d, "conversations").filter("role = 'user'")
     a = F.concat(F.lit("doc"), (F.col("conv_id") % 7).cast("string"))
     b = F.concat(F.lit("doc"), F.col("turn").cast("string"))

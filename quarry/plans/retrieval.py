@@ -6,8 +6,6 @@ with the user turn just before it (the question, used only for the prompt).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from quarry.functions.text import PY_WS_CLASS
 from quarry.operators import bm25
 from quarry.operators.joins import bounded_broadcast
 from quarry.plans.registry import query
-from quarry.session import checkpoint_dir
+from quarry.session import scratch_folder
 from quarry.sources.tables import table
 
 QKEYS = ["conv_id", "turn"]
@@ -119,7 +117,7 @@ def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
 def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
     """K1 + K2: the same ranking from a stored index, to which a quarter of the documents
     was appended after the others."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/bm25-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "bm25")
     docs = table(spark, d, "documents")
     late = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
     bm25.write_index(docs.filter(~late), path, buckets=16)
