@@ -27,6 +27,25 @@ def text_of(text_col: str = "text") -> Column:
     return F.coalesce(F.col(text_col), F.lit(""))
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened where a column of ``df`` (in any case of letters) has one."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def check_integer_ids(df: DataFrame, id_col: str) -> None:
+    """Raise, before any job, unless the ids are integers."""
+    kind = df.schema[id_col].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be an integer column, not {kind}")
+
+
 def slices(batch, rows: int = 256):
     """Zero-copy cuts of a record batch, to bound what a task holds as Python objects."""
     for at in range(0, batch.num_rows, rows):

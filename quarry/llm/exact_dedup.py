@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACE, scan, text_of
+from quarry.llm.common import SPACE, free_names, scan, text_of
 from quarry.llm.registry import llm_query
 from quarry.operators.joins import bounded_broadcast
 from quarry.session import materialize
@@ -121,15 +121,17 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` without the rows whose text an earlier id holds; all columns stay.
 
     Of rows alike in id and text (repeated rows, or a group in which no row has
-    an id) one stays, by the order of their JSON texts."""
+    an id) one stays, by the order of their JSON texts.  Columns of any names
+    may stand beside the two."""
+    ruled_id, ruled_text = free_names(docs, "_ruled", "_ruled_text")
     copies = exact_dedup(docs, id_col, text_col).filter("group_size > 1")
-    ruled = copies.select(F.col(id_col).alias("_ruled"), F.col("text_sha256").alias("_ruled_text"), "kept")
-    ruled = ruled.groupBy("_ruled", "_ruled_text", "kept").agg(F.count(F.lit(1)).alias("n"))
-    ruled = materialize(ruled.filter("NOT kept OR n > 1"))
-    same = F.col(id_col).eqNullSafe(F.col("_ruled")) & (text_digest(text_col) == F.col("_ruled_text"))
-    gone = bounded_broadcast(ruled.select("_ruled", "_ruled_text"), BROADCAST_ROWS)
+    ruled = copies.select(F.col(id_col).alias(ruled_id), F.col("text_sha256").alias(ruled_text), F.col("kept").alias("_kept"))
+    ruled = ruled.groupBy(ruled_id, ruled_text, "_kept").agg(F.count(F.lit(1)).alias("_n"))
+    ruled = materialize(ruled.filter("NOT _kept OR _n > 1"))
+    same = F.col(id_col).eqNullSafe(F.col(ruled_id)) & (text_digest(text_col) == F.col(ruled_text))
+    gone = bounded_broadcast(ruled.select(ruled_id, ruled_text), BROADCAST_ROWS)
     alone = docs.join(gone, same, "left_anti")
-    repeated = ruled.filter("kept").select("_ruled", "_ruled_text")
+    repeated = ruled.filter("_kept").select(ruled_id, ruled_text)
     if repeated.isEmpty():
         return alone
     repeated = bounded_broadcast(repeated, BROADCAST_ROWS)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import runs, scan, slices, text_of
+from quarry.llm.common import check_integer_ids, free_names, runs, scan, slices, text_of
 from quarry.llm.components import components
 from quarry.llm.exact_dedup import one_of_each, text_digest
 from quarry.llm.registry import llm_query
@@ -257,13 +257,14 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``.
 
-    Ids are integers.  Null counts as the empty text; a text without words has
+    Ids are integers (any other type raises before a job).  Null counts as the empty text; a text without words has
     an empty set and is linked with nothing.  Equal sets are linked, whatever
     the texts.  Rows of the same id are one node, so they share
     their component.  A row without
     id is compared with nothing: its component is null and it is kept.  An
     empty table gives an empty result.  Other columns are not read.
     """
+    check_integer_ids(docs, id_col)
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(id_col).alias(id_col), text_of(text_col).alias("_text"))
     rows = materialize(texts.mapInArrow(_signatures(id_col), f"{id_col} {kind}, n_shingles long, _set binary, _sig binary"))
@@ -302,32 +303,48 @@ def near_duplicates(
     return joined.unionByName(alone).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
 
 
+#: Ids above this leave no room for those of rows without id; they are numbered anew.
+HIGHEST_ID = 1 << 62
+
+
 def with_surrogates(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``_id, _text, _row`` of ``docs``: rows without id get ids above all others, in the
-    order of their texts' digests, and of those with equal texts one stays."""
+    order of their texts' digests, and of those with equal texts one stays.
+
+    Ids so high that none are left above them are replaced by their places in
+    the order of all ids."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), row)
     nameless = rows.filter("_id IS NULL").withColumn("_digest", text_digest("_text"))
     numbered = with_ordinal(nameless.select("_digest").distinct(), ["_digest"], name="_pos")
-    top = rows.agg(F.max("_id")).first()[0] or 0
+    known = rows.filter("_id IS NOT NULL")
+    top = known.agg(F.max("_id")).first()[0] or 0
+    if top > HIGHEST_ID:
+        places = materialize(with_ordinal(known.select("_id").distinct(), ["_id"], name="_pos"))
+        known = known.join(places, "_id").select(F.col("_pos").alias("_id"), "_text", "_row")
+        top = places.count()
     numbered = numbered.select("_digest", (F.col("_pos") + F.lit(top) + 1).alias("_id"))
     once = one_of_each(nameless.select("_digest", "_row"), ["_digest"], "_row")
     once = once.join(bounded_broadcast(numbered, BROADCAST_IDS), "_digest")
     named = once.select("_id", F.col("_row").getField(text_col).alias("_text"), "_row")
-    return rows.filter("_id IS NOT NULL").unionByName(named)
+    return known.select("_id", "_text", "_row").unionByName(named)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document (the smallest id) of each component; all columns stay.
 
-    Rows without id take part and come after all ids; a component of such rows alone
-    keeps the one whose text has the smallest digest."""
+    Ids are integers (any other type raises before a job).  Rows without id
+    take part and come after all ids; a component of such rows alone keeps the
+    one whose text has the smallest digest.  Columns of any names may stand
+    beside the two."""
+    check_integer_ids(docs, id_col)
     if not docs.filter(F.col(id_col).isNull()).isEmpty():
         rows = with_surrogates(docs, id_col, text_col)
         return drop_near_duplicates(rows, "_id", "_text").select("_row.*")
-    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct()
+    (name,) = free_names(docs, "_gone")
+    gone = near_duplicates(docs, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias(name)).distinct()
     gone = bounded_broadcast(materialize(gone), BROADCAST_IDS)
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 SQL = r"""

@@ -22,18 +22,17 @@ from __future__ import annotations
 
 import functools
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import WORD, scan, slices, text_of
+from quarry.llm.common import WORD, check_integer_ids, scan, slices, text_of
 from quarry.llm.minhash import mix, words
 from quarry.llm.registry import llm_query
 from quarry.operators.joins import bounded_broadcast
-from quarry.session import checkpoint_dir, materialize
+from quarry.session import materialize, scratch_folder
 
 #: Least words of a repeated passage, words compared at a minimiser, and places a minimiser is chosen from.
 LEAST, PREFIX = 50, 30
@@ -165,7 +164,7 @@ def _extended(least: int, prefix: int):
 
 def _stage(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder (smaller than a checkpoint: columns are compressed)."""
-    path = f"{checkpoint_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession, 'stage')}/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -180,11 +179,12 @@ def repeated_passages(
     in another document too; ``first_doc_id`` is the smallest id that shares a
     stretch of it, so the first occurrence is the row where both ids agree.
     Words are runs without white space and must be equal; the white space
-    between them may differ.  Ids are integers; rows without id, null texts
+    between them may differ.  Ids are integers (any other type raises); rows without id, null texts
     and texts of fewer words have no passages.  Rows that repeat an id and its
     text are one document, equal texts of different ids repeat each other.  An
     empty table gives an empty result.  Other columns are not read.
     """
+    check_integer_ids(docs, id_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_text")

@@ -27,7 +27,8 @@ def odd_table(spark):
     """The odd rows, with columns whose names the operators use inside."""
     df = spark.createDataFrame(ODD, SCHEMA)
     names = "_text _key _source _size _q id node component keep_id length score _sig _base spans _text_key _row u v"
-    return df.withColumns({n: F.lit(n) for n in names.split()})
+    names += " _ruled _ruled_text _gone _digest _pos _id _wanted _kept _n _class _words _rows _p _cell _h1 _line output form"
+    return df.withColumns({n: F.lit(n) for n in dict.fromkeys(names.split())})
 
 
 def empty_table(spark):

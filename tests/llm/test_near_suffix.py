@@ -209,3 +209,19 @@ def test_suffix_query(spark):
         docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
         got = rows_of(QUERIES["op4_suffix_dedup"](spark, sf), *SPANS)
         assert got == plain_passages(docs) == by_sql("op4_suffix_dedup", sf, SPANS)
+
+
+def test_ids_are_checked_before_any_job(spark):
+    df = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    for operator in (minhash.near_duplicates, minhash.drop_near_duplicates, suffixes.repeated_passages):
+        with pytest.raises(ValueError):
+            operator(df)
+
+
+def test_the_highest_id_and_rows_without_one(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(2**63 - 1, text, "a"), (None, text + " end", "b"), (5, "other words " * 9, "c"), (None, "alone " * 7, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
+    kept = minhash.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(r["_gone"] for r in kept.collect()) == ["a", "c", "d"]
