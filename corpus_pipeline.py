@@ -5,8 +5,6 @@ Every stage works on all that the stage before kept and returns the columns of
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm.common import scan
@@ -15,7 +13,7 @@ from quarry.llm.minhash import drop_near_duplicates
 from quarry.llm.mixing import mixed_documents
 from quarry.llm.packing import pack, public_vocabulary
 from quarry.llm.quality import keep_good
-from quarry.session import checkpoint_dir
+from quarry.session import scratch_folder
 from quarry.sources.tables import table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -60,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again."""
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_folder(spark, "pipeline")
     docs = scan(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
