@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import remove_echo
+from quarry.operators.joins import skip_done
+from quarry.session import path_exists
 
 Generator = Callable[..., list[str]]  # (prompts, decoding, **parameters) -> outputs
 
@@ -84,6 +86,40 @@ def generate_answers(
     return raw.select(*keys, "decoding", remove_echo("output", "prompt").alias("answer"))
 
 
+def generate_resumable(
+    questions: DataFrame,
+    factory: Callable[[], Generator],
+    path: str,
+    *,
+    key_cols: list[str],
+    parts: int = 16,
+    **given,
+) -> DataFrame:
+    """L1, in parts that are kept: the answers of ``generate_answers``, appended to the table
+    at ``path`` part by part (by a hash of the keys).
+
+    A run that ends midway leaves its finished parts; run again, it generates
+    for questions that have no answer there yet.  So the model is called once
+    for a question, but for those of the part that was not finished.
+    Questions added later are answered alone.  ``given`` goes to
+    ``generate_answers``; a decoding added later needs a table of its own."""
+    spark = questions.sparkSession
+    part = F.pmod(F.xxhash64(*key_cols), F.lit(parts)).cast("int")
+    known = questions.select(*key_cols).schema
+    for k in range(parts):
+        mine, target = questions.filter(part == k), f"{path}/part={k}"
+        if path_exists(spark, target):
+            done = spark.read.schema(known).parquet(target).distinct()
+            mine = skip_done(mine, done, key_cols)
+        if not mine.isEmpty():
+            # A commit is whole: files of a failed run are never seen.
+            generate_answers(mine, factory, key_cols=key_cols, **given).write.mode("append").parquet(target)
+    shape = generate_answers(questions, factory, key_cols=key_cols, **given).schema
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], shape)
+    return spark.read.schema(shape).option("basePath", path).parquet(path).select(*shape.names)
+
+
 def answer_with_context(
     rows: DataFrame,
     factory: Callable[[], Callable[[list[str], list[str]], list[dict]]],

@@ -105,7 +105,7 @@ ORDER BY shuffle_key, doc_id LIMIT {SAMPLE_N}""",
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     """F1 + F2: seeded shuffle, first 5000 (the sampling is the feature)."""
     docs = sample.seeded_shuffle(table(spark, d, "documents").select("doc_id"), "doc_id", SEED)
-    return sample.first_n(docs, SAMPLE_N, ["shuffle_key", "doc_id"])
+    return sample.first_by_hash(docs, SAMPLE_N, "shuffle_key", "doc_id")
 
 
 SLICE = (100, 600)

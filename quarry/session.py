@@ -75,6 +75,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(sc._jsc.hadoopConfiguration()).exists(place)
+
+
 def scratch_folder(spark: SparkSession, tag: str) -> str:
     """A new folder under the shared one, deleted when the driver's JVM ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"

@@ -2,10 +2,12 @@
 
 import json
 import os
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import hooks
+from quarry.operators import hooks, sample
 from quarry.sources import files
 from quarry.streaming import ingest
 
@@ -97,3 +99,55 @@ def test_map_batches_drops_columns(spark):
     df = spark.createDataFrame([(1, "ab")], "k long, text string")
     out = hooks.map_batches(df, lambda p: p.assign(n=p.text.str.len()), "k long, n long", drop=["text"])
     assert [tuple(r) for r in out.collect()] == [(1, 2)]
+
+
+def logged_model(log, fails_at=None):
+    """A generator that writes down its prompts, and fails at one of them."""
+
+    def build():
+        def generate(prompts, decoding, **given):
+            if fails_at in prompts:
+                raise RuntimeError("killed")
+            with open(f"{log}/{os.getpid()}", "a") as f:
+                f.writelines(f"{p}\n" for p in prompts)
+            return [f"{p} answer" for p in prompts]
+
+        return generate
+
+    return build
+
+
+def test_a_killed_generation_goes_on_where_it_was(spark, scratch):
+    log = os.path.join(scratch, "log")
+    os.makedirs(log)
+    rows = [(k, f"q{k}") for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, question string").repartition(2)
+    given = {"key_cols": ["k"], "parts": 6, "decodings": ("greedy",), "parameters": {}}
+    with pytest.raises(Exception, match="killed"):
+        hooks.generate_resumable(df, logged_model(log, "q17"), f"{scratch}/t", **given)
+    kept = spark.read.parquet(f"{scratch}/t").count() if os.path.isdir(f"{scratch}/t") else 0
+    done = {r.k for r in spark.read.parquet(f"{scratch}/t").collect()} if kept else set()
+    out = hooks.generate_resumable(df, logged_model(log), f"{scratch}/t", **given)
+    assert sorted((r.k, r.answer) for r in out.collect()) == sorted((k, "answer") for k, _ in rows)
+    calls = Counter(x.strip() for name in os.listdir(log) for x in open(os.path.join(log, name)))
+    assert set(calls) == {q for _, q in rows} and all(calls[f"q{k}"] == 1 for k in done)
+    # Nothing is left to do; questions added later are answered alone.
+    more = df.union(spark.createDataFrame([(99, "late")], df.schema))
+    assert hooks.generate_resumable(more, logged_model(log), f"{scratch}/t", **given).count() == 61
+    again = Counter(x.strip() for name in os.listdir(log) for x in open(os.path.join(log, name)))
+    assert again - calls == Counter(["late"])
+
+
+@pytest.mark.parametrize("ordered", [20_000, 3])
+def test_first_rows_by_hash_equal_a_sort(spark, monkeypatch, ordered):
+    monkeypatch.setattr(sample, "ORDERED", ordered)
+    ids = [*range(500), None, None, *[7] * 40]
+    df = spark.createDataFrame([(i, f"r{k}") for k, i in enumerate(ids)], "id long, t string").repartition(5)
+    df = df.withColumn("key", F.coalesce(sample.seeded_key("id"), F.lit("00")))
+    rows = sorted(((r.key, r.id is not None, r.id or 0) for r in df.collect()))
+    at = next(k for k, r in enumerate(rows) if r[2] == 7 and r[1])
+    for n in (0, 1, 2, 5, 100, at + 1, at + 20, len(ids) - 1, len(ids), len(ids) + 9):
+        got = sorted((r.key, r.id is not None, r.id or 0) for r in sample.first_by_hash(df, n, "key", "id").collect())
+        assert got == rows[:n]
+    plan = sample.first_by_hash(df, 100, "key", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in plan and "Sort" not in plan
