@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.operators.agg import epoch_loss
+from quarry.operators.agg import distinct_scores, epoch_loss, not_meta
 from quarry.plans import fixtures as fx
 from quarry.plans.dialog import thread_prepare
 from quarry.plans.registry import ORACLE, query
-from quarry.session import scratch_folder
+from quarry.session import materialize, scratch_folder
 from quarry.sources.tables import table
 from quarry.streaming import ingest
 
@@ -71,3 +71,30 @@ def resume_ingest(spark: SparkSession, d: str) -> DataFrame:
     run()
     return spark.read.parquet(f"{base}/sink").select("doc_id", "source",
                                                       F.md5("text").alias("text_md5"))
+
+
+WAVES, STREAM_DRAW = 4, 40
+
+
+@query(
+    "stream_draw",
+    f"""WITH {fx.SQL_THREADS}
+SELECT qid, md5(CAST(qid AS VARCHAR) || ':42') AS draw_key FROM threads
+WHERE len(list_distinct(list_transform(answers, lambda a: a.pm_score))) = len(answers)
+  AND NOT contains(metadata[1], 'meta')
+ORDER BY qid % {WAVES}, draw_key LIMIT {STREAM_DRAW}""",
+)
+def stream_draw(spark: SparkSession, d: str) -> DataFrame:
+    """F3 on a stream (+ A8, B6, B7): threads land in waves; accepted ones are taken until the
+    draw is full.  The first run sees two waves, the second one goes on with all of them."""
+    base = scratch_folder(spark, "draw")
+    threads = materialize(fx.threads(spark, d))
+    for wave in range(WAVES):
+        threads.filter(F.col("qid") % WAVES == wave).coalesce(1).write.mode("append").json(f"{base}/landing")
+        if wave in (1, WAVES - 1):
+            stream = ingest.open_stream(spark, f"{base}/landing", ingest.THREAD_SCHEMA, max_files_per_trigger=1)
+            ingest.draw_stream(
+                spark, stream.select("qid", "answers", "metadata"), STREAM_DRAW, sink=f"{base}/sink",
+                checkpoint=f"{base}/ckpt", id_col="qid", accept=distinct_scores() & not_meta(),
+            )
+    return spark.read.parquet(f"{base}/sink").select("qid", "draw_key")

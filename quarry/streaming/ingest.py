@@ -11,15 +11,17 @@ duplicates).
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.agg import prepare_threads
 from quarry.operators.joins import bounded_broadcast
+from quarry.operators.sample import first_by_hash, seeded_key
 
 THREAD_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType()),
@@ -103,6 +105,49 @@ def resumable_ingest(
     q.awaitTermination()
 
 
+def draw_stream(
+    spark: SparkSession,
+    stream: DataFrame,
+    n: int,
+    *,
+    sink: str,
+    checkpoint: str,
+    id_col: str,
+    accept: Column | None = None,
+    seed: int = 42,
+) -> None:
+    """F3 on a stream: take accepted records, each id once, until ``n`` are in the sink, then stop.
+
+    Every micro-batch gives all of its accepted records that the sink lacks;
+    the one that would pass ``n`` gives those with the first seeded keys (of
+    an id that it holds twice, one record).  What was taken is counted in the
+    sink, whose appends are whole: a run that ends midway and is run again
+    draws the same records as one that does not."""
+    full = threading.Event()
+
+    def write_batch(batch: DataFrame, _epoch: int) -> None:
+        held = _sink(spark, sink)
+        wanted = n - (held.count() if held is not None else 0)
+        if wanted <= 0:
+            full.set()
+            return
+        rows = batch.filter(accept) if accept is not None else batch
+        rest = [c for c in rows.columns if c != id_col]
+        rows = rows.groupBy(id_col).agg(F.min_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_first"))
+        rows = rows.select(id_col, "_first.*").select(*batch.columns)
+        if held is not None:
+            rows = rows.join(held.select(id_col), id_col, "left_anti")
+        taken = first_by_hash(rows.withColumn("draw_key", seeded_key(id_col, seed)), wanted, "draw_key", id_col)
+        taken.write.mode("append").parquet(sink)
+
+    q = (stream.writeStream.foreachBatch(write_batch)
+         .option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    while not q.awaitTermination(0.2):
+        if full.is_set():
+            q.stop()
+
+
 def stream_to_parquet(df: DataFrame, *, sink: str, checkpoint: str) -> None:
     """Append-mode file sink for a stateless stream, run to completion."""
     q = (df.writeStream.format("parquet").option("path", sink)

@@ -151,3 +151,27 @@ def test_first_rows_by_hash_equal_a_sort(spark, monkeypatch, ordered):
         assert got == rows[:n]
     plan = sample.first_by_hash(df, 100, "key", "id")._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" not in plan and "Sort" not in plan
+
+
+def test_a_draw_from_a_stream_survives_restarts(spark, scratch):
+    schema = "id long, ok boolean"
+    for wave in range(6):
+        rows = [(wave * 10 + k if k else 0, k % 3 != 1) for k in range(10)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(f"{scratch}/in")
+    df = spark.read.schema(schema).json(f"{scratch}/in")
+
+    def run(name, n, checkpoint="c"):
+        stream = ingest.open_stream(spark, f"{scratch}/in", df.schema, max_files_per_trigger=1)
+        ingest.draw_stream(
+            spark, stream, n, sink=f"{scratch}/{name}", checkpoint=f"{scratch}/{name}-{checkpoint}", id_col="id", accept=F.col("ok"))
+        return sorted(r.id for r in spark.read.parquet(f"{scratch}/{name}").collect())
+
+    whole = run("a", 17)
+    assert len(whole) == len(set(whole)) == 17 and 0 in whole
+    assert run("a", 17) == whole
+    # Batches that were written, but not committed, add nothing when they are replayed.
+    assert run("a", 17, "lost") == whole
+    first = run("b", 9)
+    assert len(first) == 9 and run("b", 9, "lost") == first and set(first) < set(run("b", 17, "more"))
+    # Fewer accepted records than wanted: all of them.
+    assert run("c", 1000) == sorted({r.id for r in df.filter("ok").collect()})
