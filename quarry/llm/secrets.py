@@ -33,12 +33,16 @@ KINDS = ("assign", "access", "hex", "random")
 
 #: Characters of the models, case folded; all others share one place.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-."
-CANDIDATE_LEAST = 20
+CANDIDATE_LEAST = 18
 CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LEAST},}}"
+PIECE = rf"[A-Za-z0-9]{{{CANDIDATE_LEAST},}}"
 #: Words that are trained on as ordinary identifiers.
 WORDS = r"[A-Za-z0-9_]{6,}"
-#: Least mean log-likelihood ratio of a transition, in nats.
-MARGIN = 0.7
+#: Least mean log-likelihood ratio of a transition, in nats, and least length: of
+#: strings with letters and digits, of letters alone, of digits alone.
+MARGINS = {"mixed": (0.7, 18), "letters": (1.0, 20), "digits": (0.7, 24)}
+#: Letters from which a piece is a word that a random string does not hold, if its ratio is below 0.
+WORD_LEAST = 5
 #: Share of each model that is uniform, by label: a random string may hold any
 #: character, an ordinary one seldom does.
 UNIFORM = {1: 0.1, 0: 0.01}
@@ -111,7 +115,7 @@ def labelled_strings(rows: DataFrame) -> DataFrame:
     random = F.transform("_base", lambda s: F.when(s["kind"] == 0, secret_part(s["body"])).otherwise(s["body"]))
     clean = F.aggregate("_base", F.col("_text"), lambda t, s: F.replace(t, s["body"], F.lit(" ")))
     words = F.array_distinct(F.regexp_extract_all(clean, F.lit(WORDS), F.lit(0)))
-    words = F.filter(words, lambda w: (F.length(w) < CANDIDATE_LEAST) | ~_mixed(w))
+    words = F.filter(words, lambda w: ~_judged(w))
 
     def as_label(strings: Column, label: int) -> Column:
         return F.transform(strings, lambda x: F.struct(F.lower(x).alias("body"), F.lit(label).alias("label")))
@@ -155,6 +159,21 @@ def _mixed(body: Column) -> Column:
     return body.rlike("[0-9]") & body.rlike("[A-Za-z]")
 
 
+def _sorts(body: Column) -> list[tuple[Column, float, int]]:
+    """Each sort of strings, as a condition, with its margin and least length."""
+    digit, letter = body.rlike("[0-9]"), body.rlike("[A-Za-z]")
+    conditions = {"mixed": digit & letter, "letters": letter & ~digit, "digits": digit & ~letter}
+    return [(conditions[k], *limits) for k, limits in MARGINS.items()]
+
+
+def _judged(body: Column) -> Column:
+    """Whether a string is long enough of its sort to be judged by the models."""
+    out = F.lit(False)
+    for condition, _, least in _sorts(body):
+        out = F.when(condition, F.length(body) >= least).otherwise(out)
+    return out
+
+
 def mean_ratio(body: Column, ratios: list[float]) -> Column:
     """Mean log-likelihood ratio of the transitions of ``body`` (2 characters or more)."""
     size, body = len(ALPHABET) + 1, F.lower(body)
@@ -184,14 +203,28 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = rows.withColumn("_base", base_spans(F.col("_text")))
     ratios = train(materialize(labelled_strings(rows)))
 
-    def likely(body: Column) -> Column:
-        return F.when(_mixed(body), mean_ratio(body, ratios) >= MARGIN).otherwise(F.lit(False))
+    def reaches(body: Column) -> Column:
+        ratio, out = mean_ratio(body, ratios), F.lit(False)
+        for condition, margin, _ in _sorts(body):
+            out = F.when(condition, ratio >= margin).otherwise(out)
+        return F.when(_judged(body), out).otherwise(F.lit(False))
 
-    found = rows.withColumn("_more", _spans(F.col("_text"), "random", CANDIDATE, likely))
-    apart = F.filter(
-        "_more",
-        lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])),
-    )
+    def ordinary(piece: Column) -> Column:
+        word = (F.length(piece) >= WORD_LEAST) & ~piece.rlike("[0-9]")
+        return F.when(word, mean_ratio(piece, ratios) < 0).otherwise(F.lit(False))
+
+    def whole(body: Column) -> Column:
+        holds_word = F.exists(F.split(body, "[^A-Za-z0-9]+", -1), ordinary)
+        return F.when(_mixed(body), reaches(body) & ~holds_word).otherwise(F.lit(False))
+
+    def clear_of(spans: str, others: str) -> Column:
+        return F.filter(
+            spans, lambda m: ~F.exists(others, lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+
+    found = rows.withColumn("_runs", _spans(F.col("_text"), "random", CANDIDATE, whole))
+    found = found.withColumn("_pieces", _spans(F.col("_text"), "random", PIECE, reaches))
+    found = found.withColumn("_more", F.concat("_runs", clear_of("_pieces", "_runs")))
+    apart = clear_of("_more", "_base")
     every = F.array_sort(
         F.concat("_base", apart),
         lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]),

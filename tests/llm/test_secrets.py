@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -80,3 +81,106 @@ def test_random_strings_stand_out(spark):
 def test_query(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").collect()}
     check(QUERIES["op1_secrets"](spark, SF_SMALL).collect(), docs)
+
+
+ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789+/_=-."
+LIMITS = [(0.7, 18), (1.0, 20), (0.7, 24)]
+
+
+def sort_of(body):
+    digit, letter = bool(re.search("[0-9]", body)), bool(re.search("[A-Za-z]", body))
+    return 0 if digit and letter else 1 if letter else 2 if digit else None
+
+
+def judged(body):
+    return sort_of(body) is not None and len(body) >= LIMITS[sort_of(body)][1]
+
+
+def plain_ratios(texts):
+    """The two models by counting pairs, and the mean ratio of a string."""
+    labelled = set()
+    for text in map(lambda t: t or "", texts):
+        found = [(m.start(), m[0], m[2]) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+        found += [(m.start(), m[0], m[0]) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+        found += [(m.start(), m[0], m[0]) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+        clean = text
+        for _, body, secret in sorted(found):
+            labelled.add((secret.lower(), 1))
+            clean = clean.replace(body, " ")
+        labelled |= {(w.lower(), 0) for w in re.findall("[A-Za-z0-9_]{6,}", clean) if not judged(w)}
+    size = len(ALPHABET) + 1
+    place = lambda c: ALPHABET.index(c) if c in ALPHABET else size - 1
+    counts = {v: [[0] * size for _ in range(size)] for v in (0, 1)}
+    for body, v in labelled:
+        for a, b in zip(body, body[1:]):
+            counts[v][place(a)][place(b)] += 1
+
+    def chance(v, a, b, flat):
+        row = counts[v][a]
+        return (1 - flat) * (row[b] / sum(row) if any(row) else 1 / size) + flat / size
+
+    def ratio(body):
+        steps = [(place(a), place(b)) for a, b in zip(body.lower(), body.lower()[1:])]
+        return sum(math.log(chance(1, a, b, 0.1)) - math.log(chance(0, a, b, 0.01)) for a, b in steps) / len(steps)
+
+    return ratio
+
+
+def plain_random(text, ratio):
+    def reaches(body):
+        return judged(body) and ratio(body) >= LIMITS[sort_of(body)][0]
+
+    def ordinary(piece):
+        return len(piece) >= 5 and not re.search("[0-9]", piece) and ratio(piece) < 0
+
+    runs = [m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{18,}", text)
+            if sort_of(m[0]) == 0 and reaches(m[0]) and not any(map(ordinary, re.split("[^A-Za-z0-9]+", m[0])))]
+    pieces = [m.span() for m in re.finditer("[A-Za-z0-9]{18,}", text) if reaches(m[0])]
+    clear = lambda spans, others: [s for s in spans if not any(o[0] < s[1] and s[0] < o[1] for o in others)]
+    taken = [tuple(map(int, s.split(":")[1:])) for s in base(text).split(",") if s]
+    return sorted(clear(runs + clear(pieces, runs), taken))
+
+
+def planted(count=240):
+    """Texts of ordinary words, names and paths, some with a key; and where the key is."""
+    draw = random.Random(21)
+    lower, letters, digits = "abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    words = "request response handler account table connection parse document body index section window of the and into".split()
+    key = lambda chars, n: "".join(draw.choice(chars) for _ in range(n))
+    name = lambda: "".join(w.title() for w in draw.sample(words, 4))
+    path = lambda: "/srv/" + "/".join(draw.sample(words, 4)) + "/"
+    rows, keys = [], {}
+    for k in range(count):
+        text = f"token={key(letters + digits, 40)} {' '.join(draw.choices(words, k=12))} {name()} {path()}file_{draw.randrange(99)} "
+        kind = k % 6
+        secret = [key(letters, 44), key(letters + digits, 30), key(lower + digits, 19), key(letters + digits + "+/", 40), "", ""][kind]
+        lead = path() if kind == 1 else ""
+        if secret:
+            start = len(text) + len(lead)
+            keys[k] = (start, start + len(secret))
+            text += f"{lead}{secret} and more"
+        else:
+            text += f"{name()}_{name()}2 {draw.choice(words) * 3} see {draw.randrange(10**9)}"
+        rows.append((k, text))
+    return rows, keys
+
+
+def test_planted_keys_are_found_and_ordinary_names_are_not(spark):
+    rows, keys = planted()
+    got = {r.doc_id: r.spans for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {k: [tuple(map(int, s.split(":")[1:])) for s in v.split(",") if s.startswith("random")] for k, v in got.items()}
+    hits = sum(any(a <= keys[k][0] + 1 and keys[k][1] - 1 <= b and b - a <= keys[k][1] - keys[k][0] + 2 for a, b in found[k]) for k in keys)
+    # Keys with "+" and "/" may be found in pieces.
+    touched = sum(any(a < keys[k][1] and keys[k][0] < b for a, b in found[k]) for k in keys)
+    false = sum(not (k in keys and a < keys[k][1] and keys[k][0] < b) for k, v in found.items() for a, b in v)
+    total = sum(map(len, found.values()))
+    assert hits >= 0.9 * len(keys) and touched >= 0.95 * len(keys) and false <= 0.05 * total, (hits, touched, len(keys), false, total)
+
+
+def test_spans_of_the_models_equal_a_plain_version(spark):
+    rows, _ = planted(120)
+    rows += [(1000 + k, t) for k, t in enumerate(CASES)]
+    ratio = plain_ratios([t for _, t in rows])
+    for r in find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        own = [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("random")]
+        assert own == plain_random(dict(rows)[r.doc_id], ratio), (r.doc_id, dict(rows)[r.doc_id])
