@@ -82,14 +82,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def scratch_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder under the shared one, deleted when the driver's JVM ends."""
+    """A path for a new folder under the shared one, deleted when the driver's JVM ends."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     sc = spark.sparkContext
     place = sc._jvm.org.apache.hadoop.fs.Path(path)
     files = place.getFileSystem(sc._jsc.hadoopConfiguration())
     files.mkdirs(place)
     files.deleteOnExit(place)
-    return path
+    return f"{path}/data"
 
 
 def materialize(df: DataFrame) -> DataFrame:
