@@ -63,9 +63,8 @@ def test_stages(spark):
     pieces = packing(spark, spark.createDataFrame(mixed, docs.schema), SF_SMALL).collect()
     check_packing([(r[0], r[1]) for r in mixed], pieces)
 
-    whole = entry.queries()["pipeline"](spark, SF_SMALL)
-    key = lambda p: (p.doc_id, p.start, p.length, p.ids_crc32)
-    assert sorted(map(key, whole.collect())) == sorted(map(key, pieces))
+    # Which documents fill gaps depends on the tasks; what is packed does not.
+    check_packing([(r[0], r[1]) for r in mixed], entry.queries()["pipeline"](spark, SF_SMALL).collect())
 
 
 def test_odd_rows_pass_every_stage(spark):
@@ -93,9 +92,9 @@ def test_entry_works_without_these_folders():
     assert int(n) >= 48 and rest.strip() == "[] False"
 
 
-def test_all_eleven_queries_are_registered():
+def test_all_queries_are_registered():
     names = entry.queries()
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(k.startswith(f"op{n}_") for k in names) == 1
     assert "pipeline" in names
-    assert {"op8_exact_dedup", "op10_mixing"} <= entry.oracle_sql().keys()
+    assert {"op8_exact_dedup", "op10_mixing", "op12_fill_in_middle"} <= entry.oracle_sql().keys()
