@@ -6,14 +6,14 @@ with the user turn just before it (the question, used only for the prompt).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import PY_WS_CLASS
 from quarry.operators import bm25
 from quarry.operators.joins import bounded_broadcast
 from quarry.plans.registry import query
-from quarry.session import scratch_folder
+from quarry.session import materialize, scratch_folder
 from quarry.sources.tables import table
 
 QKEYS = ["conv_id", "turn"]
@@ -120,13 +120,40 @@ def bm25_stored(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_folder(spark, "bm25")
     docs = table(spark, d, "documents")
     late = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    bm25.write_index(docs.filter(~late), path, buckets=16)
+    bm25.write_index(docs.filter(~late), path, buckets=0)
     bm25.append_index(docs.filter(late), path)
     qa = qa_turns(table(spark, d, "conversations"))
     hits = bm25.top_k(bm25.load_index(spark, path), qa, key_cols=QKEYS, text_col="answer", k=TOP_K)
     return hits.select(*QKEYS, "rank", "doc_id", "score")
 
 
+COMMON = 5
+
+SQL_COMMON = f"""
+common AS (
+  SELECT term, row_number() OVER (ORDER BY count(*) DESC, term) AS place FROM (
+    SELECT DISTINCT doc_id, unnest({sql_tokens('text')}) AS term FROM documents) GROUP BY term
+),
+qa AS (SELECT 0 AS conv_id, CAST(place AS BIGINT) AS turn, term AS question, term AS answer FROM common WHERE place <= {COMMON})"""
+
+
+@query(
+    "bm25_terms",
+    f"WITH {sql_bm25_hits(chr(39) + 'all' + chr(39)).replace(SQL_QA, SQL_COMMON)}\n"
+    "SELECT turn AS place, rank, doc_id, score FROM hits",
+)
+def bm25_terms(spark: SparkSession, d: str) -> DataFrame:
+    """K1 + K2: the best documents for each of the five most common terms, from the postings
+    of their buckets in a stored index."""
+    path = scratch_folder(spark, "bm25")
+    bm25.write_index(table(spark, d, "documents"), path, buckets=16)
+    index = bm25.load_index(spark, path)
+    common = index.term_stats.orderBy(F.desc("df"), "term").limit(COMMON).select("term", "df")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("df"), "term")).cast("bigint")
+    queries = materialize(common.withColumn("place", place).select("place", "term"))
+    return bm25.top_k(index, queries, key_cols=["place"], text_col="term", k=TOP_K).select("place", "rank", "doc_id", "score")
+
+
 @query(
     "bm25_by_source",
     f"WITH {sql_bm25_hits('source')}\nSELECT conv_id, turn, source, rank, doc_id, score FROM hits",
