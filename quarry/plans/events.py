@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.agg import distinct_scores, epoch_loss, not_meta
+from quarry.operators.layout import spread
 from quarry.plans import fixtures as fx
 from quarry.plans.dialog import thread_prepare
 from quarry.plans.registry import ORACLE, query
@@ -56,18 +59,20 @@ def resume_ingest(spark: SparkSession, d: str) -> DataFrame:
     first; the ingest is run, re-run, and run again after the second wave.
     The sink must hold every document exactly once."""
     base = scratch_folder(spark, "ingest")
-    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
+    # As many files as the scan has splits; each wave is taken in about two triggers.
+    files = math.ceil(docs.rdd.getNumPartitions() / 2)
     wave = F.col("doc_id") % 2
-    docs.filter(wave == 0).repartition(2).write.mode("append").parquet(f"{base}/landing")
+    docs.filter(wave == 0).write.mode("append").parquet(f"{base}/landing")
     stream = lambda: ingest.open_stream(spark, f"{base}/landing", docs.schema, fmt="parquet",
-                                        max_files_per_trigger=1)
+                                        max_files_per_trigger=files)
     run = lambda: ingest.resumable_ingest(spark, stream().select("doc_id", "source", "text"),
                                           sink=f"{base}/sink", checkpoint=f"{base}/ckpt",
                                           keys=["doc_id"])
     run()
     run()
     # Second wave: the other half plus a re-delivery of the first.
-    docs.repartition(2).write.mode("append").parquet(f"{base}/landing")
+    docs.write.mode("append").parquet(f"{base}/landing")
     run()
     return spark.read.parquet(f"{base}/sink").select("doc_id", "source",
                                                       F.md5("text").alias("text_md5"))

@@ -84,6 +84,11 @@ def resumable_ingest(
         b = transform(batch) if transform else batch
         rest = order or [c for c in b.columns if c not in keys]
         others = [c for c in b.columns if c not in keys and c not in rest]
+        # A batch of more splits than shuffle partitions is grouped in as many: a task's
+        # share of it does not grow with the batch.
+        splits = b.rdd.getNumPartitions()
+        if splits > int(spark.conf.get("spark.sql.shuffle.partitions")):
+            b = b.repartition(splits, *keys)
         if rest:
             first = F.min(F.struct(*rest, *others)).alias("_first")
             b = b.groupBy(*keys).agg(first).select(*keys, "_first.*").select(*b.columns)
