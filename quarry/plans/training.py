@@ -159,7 +159,8 @@ FROM g GROUP BY batch, blk""",
 def pack_blocks(spark: SparkSession, d: str) -> DataFrame:
     """J5 + J6: 1000-row batches packed into 1024-token blocks."""
     ids, _ = _doc_ids(spark, d)
-    blocks = P.pack(ids, order_col="doc_id", ids_col="ids", block=BLOCK, batch_rows=BATCH_ROWS)
+    blocks = P.pack(ids, order_col="doc_id", ids_col="ids", block=BLOCK, batch_rows=BATCH_ROWS,
+                    keys=table(spark, d, "documents").select("doc_id"))
     return blocks.select("batch", F.col("block").cast("bigint").alias("block"),
                          F.array_join("input_ids", " ").alias("input_ids"),
                          F.array_join("labels", " ").alias("labels"))
@@ -264,7 +265,7 @@ def pack_shards(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     ids = P.tokenize(docs, P.build_vocab(docs), key_cols=["doc_id"], text=F.col("text"), mask="attention_mask")
     blocks = P.pack(ids, order_col="doc_id", block=512, batch_rows=100, num_shards=SHARDS,
-                    more_cols=("attention_mask",))
+                    more_cols=("attention_mask",), keys=table(spark, d, "documents").select("doc_id"))
     return blocks.select("shard", "batch", F.col("block").cast("bigint").alias("block"),
                          F.md5(F.array_join("input_ids", " ")).alias("ids_md5"),
                          F.aggregate("attention_mask", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("n_attended"))
